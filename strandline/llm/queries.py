@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import oracles
+from strandline.llm import chat, langid, oracles, simhash, spm, substrings, tokencount, topk
 from strandline.llm.quality import quality
-from strandline.plans.shared import table
+from strandline.llm.text import GAP, SPACES
+from strandline.plans.shared import materialize, table
+
+#: The end-of-document id of byte_bpe_50k.
+SEPARATOR = 50256
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted between separators of flat streams written from the whole table."""
+    docs = table(spark, sf_dir, "documents")
+    blocks = tokencount.write_stream_blocks(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), SEPARATOR)
+    found = tokencount.separator_scan(materialize(blocks, "streams"), SEPARATOR)
+    return found.where("closed").select(F.col("id").alias("doc_id"), "stream", "doc_no", "start", "n_tokens")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spm.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; profiles come from the four fifths that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0)
+    profiles = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +42,58 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted windows."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    back = chat.read_back(chat.windows(rows))
+    part = F.struct(
+        "window",
+        F.size("turns").alias("n"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        F.col("loss_text").alias("loss"),
+        F.length("formatted").cast("long").alias("chars"),
+    )
+    whole = back.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    total = lambda field: F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x[field])
+    text = lambda field: F.array_join(F.transform("p", lambda x: x[field]), "")
+    return whole.select(
+        "conv_id",
+        total("n").alias("n_turns"),
+        F.sha2(text("turns"), 256).alias("turns_sha256"),
+        F.length(text("loss")).cast("long").alias("loss_chars"),
+        F.sha2(text("loss"), 256).alias("loss_sha256"),
+        total("chars").alias("formatted_chars"),
+    )
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat a passage of a smaller one, and a digest of what is kept."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.regexp_replace(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)), GAP, " ")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every vector whose id is divisible by 100."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_language_id": op5_language_id,
+    "op7_simhash": op7_simhash,
+    "op8_chat_format": op8_chat_format,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_topk": op10_topk,
     "op6_quality_rules": op6_quality_rules,
 }
 
