@@ -23,6 +23,7 @@ from strandline.plans.shared import materialize
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_PACKED = np.dtype([("a", "<u8"), ("b", "<u4")])  #: a window's hash: 96 bits, unaligned
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -98,22 +99,73 @@ def _sketch(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("__id", "__th", "__text").mapInArrow(run, schema)
 
 
-def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2, __id, __th, pos) of every window whose anchor is in the row's list ``marks``."""
-    names = ["h1", "h2", "__id", "__th", "pos"]
+def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(mark, hot, __id, __th, pos, body): runs of consecutive windows under one of the row's shared anchors.
+
+    ``body`` packs the windows' hashes, 12 bytes each, from the one that starts at word ``pos``.
+    """
+    names = ["mark", "hot", "__id", "__th", "pos", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in _parts(b, 64)):
-            out = []
-            for i, th, text, marks in zip(*(batch.column(c) for c in ("__id", "__th", "__text", "marks"))):
+            out: list[tuple] = []
+            for i, th, text, marks, hot in zip(*(batch.column(c) for c in ("__id", "__th", "__text", "marks", "hot"))):
                 hashes = word_hashes(text.as_py().split())
-                pos = np.flatnonzero(np.isin(anchors(hashes, window, gram), marks.values.to_numpy(zero_copy_only=False).view(np.uint64)))
-                h1, h2 = (rolling(hashes, window, b)[pos].view(np.int64) for b in _BASES)
-                out.append((h1, h2, np.full(len(pos), i.as_py()), np.full(len(pos), th.as_py()), pos.astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+                least = anchors(hashes, window, gram).view(np.int64)
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1, [len(least)]))
+                known, kept = marks.values.to_numpy(zero_copy_only=False), np.isin(least[edges[:-1]], marks.values.to_numpy(zero_copy_only=False))
+                busy = dict(zip(known.tolist(), hot.as_py()))
+                packed = np.empty(len(least), _PACKED)
+                packed["a"], packed["b"] = rolling(hashes, window, _BASES[0]), rolling(hashes, window, _BASES[1]) >> np.uint64(32)
+                for k in np.flatnonzero(kept).tolist():
+                    mark = int(least[edges[k]])
+                    out.append((mark, busy[mark], i.as_py(), th.as_py(), int(edges[k]), packed[edges[k] : edges[k + 1]].tobytes()))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], names=names)
+
+    return docs.mapInArrow(run, "mark long, hot boolean, __id long, __th long, pos int, body binary")
+
+
+def _repeats_in_order(runs: DataFrame) -> DataFrame:
+    """(__id, __th, starts) from runs that stand together by mark, ascending by id.
+
+    Going up by id, a window whose hash a smaller id has shown is repeated.  A task holds one mark's
+    distinct hashes at a time, and marks that many documents share do not come here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = None, {}
+        for batch in batches:
+            out = []
+            for mark, i, th, pos, body in zip(*(batch.column(c).to_pylist() for c in ("mark", "__id", "__th", "pos", "body"))):
+                if mark != current:
+                    current, seen = mark, {}
+                starts = [pos + k for k, h in enumerate(np.frombuffer(body, "V12").tolist()) if seen.setdefault(h, i) < i]
+                if starts:
+                    out.append((i, th, starts))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, kinds)], names=["__id", "__th", "starts"])
+
+    return runs.repartition("mark").sortWithinPartitions("mark", "__id").mapInArrow(run, "__id long, __th long, starts array<int>")
+
+
+def _repeats_by_count(runs: DataFrame) -> DataFrame:
+    """(__id, __th, starts) for marks that many documents share: one row per window, counted and joined in Spark."""
+    names = ["a", "b", "__id", "__th", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in _parts(b)):
+            bodies = [np.frombuffer(x, _PACKED) for x in batch.column("body").to_pylist()]
+            n = np.array([len(x) for x in bodies], np.int64)
+            flat = np.concatenate([np.empty(0, _PACKED), *bodies])
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(batch.column("pos").to_numpy(zero_copy_only=False), n)
+            ids, ths = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("__id", "__th"))
+            cols = [flat["a"].view(np.int64) if flat["a"].flags.c_contiguous else np.ascontiguousarray(flat["a"]).view(np.int64), np.ascontiguousarray(flat["b"]).view(np.int32), ids, ths, pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    return docs.mapInArrow(run, "h1 long, h2 long, __id long, __th long, pos int")
+    found = materialize(runs.mapInArrow(run, "a long, b int, __id long, __th long, pos int"), "windows")
+    least = found.groupBy("a", "b").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("a", "b", "least")
+    return found.join(least, ["a", "b"]).where("__id > least").select("__id", "__th", F.array("pos").alias("starts"))
 
 
 def merge(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -127,11 +179,13 @@ def merge(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), last.tolist()))
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
-    """(__id, __th, n_words, spans): the word intervals to remove, for rows that lose any.
+def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16, gather: int = 2048) -> DataFrame:
+    """(__id, __th, spans): the word intervals to remove, for rows that lose any.
 
     A word goes if a ``window``-word sequence over it also starts in a row with a smaller id; ``spans``
-    holds maximal [start, end) intervals.  __th is the hash of the row's text (see ``_keyed``).
+    holds maximal [start, end) intervals.  __th is the hash of the row's text (see ``_keyed``).  Windows
+    under an anchor of up to ``gather`` documents meet in one task, in order of id; those under a more
+    common anchor are counted one by one, so that no task gets all of a passage that very many share.
     """
     keyed = _keyed(docs, id, text)
     sketch = materialize(_sketch(keyed, window, gram), "sketch").where(F.col("__id").isNotNull() & (F.col("n_words") >= window))
@@ -139,18 +193,21 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     placed = sketch.join(firsts, "digest", "left")
     copies = placed.where("__id > first").select("__id", "__th", "n_words")
     alone = placed.where("first is null or __id = first").select("__id", "__th", F.explode("anchors").alias("mark"))
-    shared = alone.groupBy("mark").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("mark")
-    marks = materialize(alone.join(shared, "mark").groupBy("__id", "__th").agg(F.collect_set("mark").alias("marks")), "marks")
-    found = keyed.select("__id", "__th", "__text").join(marks, ["__id", "__th"])
-    found = materialize(_windows(found, window, gram), "windows")
-    least = found.groupBy("h1", "h2").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("h1", "h2", "least")
-    hits = found.join(least, ["h1", "h2"]).where("__id > least").groupBy("__id", "__th").agg(F.collect_list("pos").alias("starts"))
+    shared = alone.groupBy("mark").agg(F.min("__id").alias("least"), F.max("__id").alias("most"), (F.count("*") > gather).alias("hot")).where("least < most").select("mark", "hot")
+    marks = alone.join(shared, "mark").groupBy("__id", "__th").agg(F.collect_list("mark").alias("marks"), F.collect_list("hot").alias("hot"))
+    marks = materialize(marks, "marks")
+    runs = materialize(_runs(keyed.select("__id", "__th", "__text").join(marks, ["__id", "__th"]), window, gram), "runs")
+    hits = _repeats_in_order(runs.where("not hot"))
+    if runs.where("hot").limit(1).count():
+        hits = hits.union(_repeats_by_count(runs.where("hot")))
+    hits = hits.groupBy("__id", "__th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     @F.pandas_udf("array<struct<start: int, end: int>>")
     def merged(starts):
         return starts.map(lambda s: [{"start": a, "end": b} for a, b in merge(np.asarray(s, np.int64), window)])
 
     whole = copies.select("__id", "__th", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"))
+    # rows repeated whole share a key; they lose the same words
     return materialize(whole.union(hits.select("__id", "__th", merged("starts").alias("spans"))), "spans").dropDuplicates(["__id", "__th"])
 
 
@@ -166,7 +223,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16, gather: int = 2048) -> DataFrame:
     """``docs`` with ``text`` cut, plus ``n_words``, ``n_removed`` and ``spans``.
 
     Null texts have no words and stay null; texts shorter than the window, and rows with a null id, are
@@ -176,7 +233,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     """
     new = ["n_words", "n_removed", "spans"]
     body = docs.drop(*new, "__id", "__th", "__text", "__spans")
-    spans = repeated_spans(docs, id, text, window, gram).withColumnRenamed("spans", "__spans")
+    spans = repeated_spans(docs, id, text, window, gram, gather).withColumnRenamed("spans", "__spans")
     joined = _keyed(body, id, text).join(spans, ["__id", "__th"], "left").withColumn("__null", F.col(text).isNull())
     keep = [f for f in body.schema.fields if f.name != text]
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -165,10 +165,10 @@ def test_chat_windows(spark):
 def test_substring_edges(spark):
     docs = documents(spark)
     rows = docs.collect()
-    for width, gram in ((50, 16), (5, 3)):
+    for width, gram, gather in ((50, 16, 2048), (5, 3, 2048), (50, 16, 1)):
         want = plain_removal([(r.doc_id, r.text) for r in rows], width)
         expected = sorted((str(rows[k].doc_id), str([w for p, w in enumerate(words) if p not in gone]), len(gone)) for k, (words, gone) in want.items())
-        out = substrings.remove_repeats(docs, window=width, gram=gram)
+        out = substrings.remove_repeats(docs, window=width, gram=gram, gather=gather)
         assert out.columns == [c for c in docs.columns if c not in ("n_words", "spans")] + ["n_words", "n_removed", "spans"]
         got = out.collect()
         assert sorted((str(r.doc_id), str(WORD.findall(r.text or "")), r.n_removed) for r in got) == expected
