@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, langid, oracles, simhash, spm, substrings, tokencount, topk
+from strandline.llm import chat, langid, mixing, oracles, simhash, spm, substrings, tokencount, topk, toxicity
 from strandline.llm.quality import quality
 from strandline.llm.text import GAP, SPACES
 from strandline.plans.shared import materialize, table
@@ -23,6 +23,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("closed").select(F.col("id").alias("doc_id"), "stream", "doc_no", "start", "n_tokens")
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, beside its source's size and target."""
+    placed, drawn = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = drawn.groupBy(F.col("rank").alias("t_rank"), F.col("offset").alias("t_offset"), F.col("id").alias("t_id"), F.col("th").alias("t_th")).agg(F.sum("length").alias("taken"))
+    # an offset names one row with words; rows without any share theirs and are never drawn
+    same = F.expr("rank = t_rank AND offset = t_offset AND id <=> t_id AND th = t_th AND size > 0")
+    return placed.join(taken, same, "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document and whether it counts as toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", "toxic")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +104,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixture": op2_mixture,
+    "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op7_simhash": op7_simhash,
