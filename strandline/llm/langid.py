@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,20 +86,20 @@ def learn(docs: DataFrame, size: int = 300, max_langs: int = 1000, text: str = "
     driver is at most ``size`` grams for each of at most ``max_langs`` languages (more is an error).
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         weight = 0
 
-        def drain() -> Iterator[pd.DataFrame]:
+        def drain() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 values, where = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
                 counts = np.bincount(where, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-                yield pd.DataFrame({"lang": lang, "gram": values, "n": counts})
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(counts)], names=["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                part = grams(text)
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                part = grams(text.as_py())
                 held.setdefault(lang, []).append(part)
                 weight += len(part[0])
                 if weight > 4_000_000:
@@ -107,7 +108,7 @@ def learn(docs: DataFrame, size: int = 300, max_langs: int = 1000, text: str = "
         yield from drain()
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
     best = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= size)
     got = best.select("lang", "gram", "place").limit(size * max_langs + 1).toPandas()
@@ -127,7 +128,8 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(x) for x in texts], columns=["lang_pred", "score"])
+        made = [profiles.predict(x) for x in texts]
+        return pd.DataFrame({"lang_pred": pd.Series([a for a, _ in made], dtype=object), "score": [b for _, b in made]})
 
     out = docs.drop("lang_pred", "score").withColumn("__p", predict(F.col(text)))
     return out.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")

