@@ -165,7 +165,7 @@ def _repeats_by_count(runs: DataFrame) -> DataFrame:
 
     found = materialize(runs.mapInArrow(run, "a long, b int, __id long, __th long, pos int"), "windows")
     least = found.groupBy("a", "b").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("a", "b", "least")
-    return found.join(least, ["a", "b"]).where("__id > least").select("__id", "__th", F.array("pos").alias("starts"))
+    return found.join(least.hint("merge"), ["a", "b"]).where("__id > least").select("__id", "__th", F.array("pos").alias("starts"))
 
 
 def merge(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -186,17 +186,19 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     holds maximal [start, end) intervals.  __th is the hash of the row's text (see ``_keyed``).  Windows
     under an anchor of up to ``gather`` documents meet in one task, in order of id; those under a more
     common anchor are counted one by one, so that no task gets all of a passage that very many share.
+    What is joined grows with the corpus, and is a table of arrays or hashes that Parquet's size understates:
+    the joins are merge joins at every size, never broadcasts.
     """
     keyed = _keyed(docs, id, text)
     sketch = materialize(_sketch(keyed, window, gram), "sketch").where(F.col("__id").isNotNull() & (F.col("n_words") >= window))
     firsts = sketch.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").select("digest", "first")
-    placed = sketch.join(firsts, "digest", "left")
+    placed = sketch.join(firsts.hint("merge"), "digest", "left")
     copies = placed.where("__id > first").select("__id", "__th", "n_words")
     alone = placed.where("first is null or __id = first").select("__id", "__th", F.explode("anchors").alias("mark"))
     shared = alone.groupBy("mark").agg(F.min("__id").alias("least"), F.max("__id").alias("most"), (F.count("*") > gather).alias("hot")).where("least < most").select("mark", "hot")
-    marks = alone.join(shared, "mark").groupBy("__id", "__th").agg(F.collect_list("mark").alias("marks"), F.collect_list("hot").alias("hot"))
+    marks = alone.join(shared.hint("merge"), "mark").groupBy("__id", "__th").agg(F.collect_list("mark").alias("marks"), F.collect_list("hot").alias("hot"))
     marks = materialize(marks, "marks")
-    runs = materialize(_runs(keyed.select("__id", "__th", "__text").join(marks, ["__id", "__th"]), window, gram), "runs")
+    runs = materialize(_runs(keyed.select("__id", "__th", "__text").join(marks.hint("merge"), ["__id", "__th"]), window, gram), "runs")
     hits = _repeats_in_order(runs.where("not hot"))
     if runs.where("hot").limit(1).count():
         hits = hits.union(_repeats_by_count(runs.where("hot")))
@@ -234,7 +236,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     new = ["n_words", "n_removed", "spans"]
     body = docs.drop(*new, "__id", "__th", "__text", "__spans")
     spans = repeated_spans(docs, id, text, window, gram, gather).withColumnRenamed("spans", "__spans")
-    joined = _keyed(body, id, text).join(spans, ["__id", "__th"], "left").withColumn("__null", F.col(text).isNull())
+    joined = _keyed(body, id, text).join(spans.hint("merge"), ["__id", "__th"], "left").withColumn("__null", F.col(text).isNull())
     keep = [f for f in body.schema.fields if f.name != text]
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", kind)]
