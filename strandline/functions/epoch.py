@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parse_epoch_ms(text: Column) -> Column:
@@ -21,7 +22,7 @@ def duration_ms(start_ms: Column, end_ms: Column) -> Column:
     return F.when(end_ms >= start_ms, end_ms - start_ms)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def valid_utf8(raw: pd.Series) -> pd.Series:
     """Bytes as text; each run of bytes that are not UTF-8 becomes one U+FFFD, a genuine U+FFFD stays."""
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "<REDACTED:"
 
@@ -130,7 +131,7 @@ def redact(raw: str | None) -> tuple[str | None, int]:
     return text, total
 
 
-@F.pandas_udf("text string, redactions int")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("redactions", T.IntegerType())]))
 def scrub(raw: pd.Series) -> pd.DataFrame:
     made = [redact(x) for x in raw]
     return pd.DataFrame({"text": pd.Series([t for t, _ in made], dtype=object), "redactions": pd.Series([n for _, n in made], dtype="int32")})

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LATEST = (F.desc_nulls_last("started_at"), F.desc("id"))
-
 
 def commands_of(executions: DataFrame, now_ms: int, redacted: str = "redacted") -> DataFrame:
     """One row per text: first and last time seen, runs, and the redaction count of the first insert.
@@ -37,7 +35,7 @@ def merge_commands(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 def latest(executions: DataFrame) -> DataFrame:
     """The latest execution of each text: by start (unknown last), then id.  Spark prunes groups before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("text").orderBy(*_LATEST))
+    place = F.row_number().over(Window.partitionBy("text").orderBy(F.desc_nulls_last("started_at"), F.desc("id")))
     return executions.withColumn("__place", place).where("__place = 1").drop("__place")
 
 

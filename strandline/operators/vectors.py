@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,24 +33,24 @@ def normalise(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_half(vectors: pd.Series) -> pd.Series:
     """Vectors as little-endian 16-bit floats, rounded to nearest even."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").astype("<f2").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_half(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype("f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_bytes(vectors: pd.Series) -> pd.Series:
     """Vectors as little-endian 32-bit floats."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_bytes(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
