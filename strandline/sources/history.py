@@ -94,7 +94,7 @@ def file_lines(spark: SparkSession, paths: list[str], zsh: bool = False) -> Data
     """(path, line_no, line) of history files; one line feed, then one carriage return, is cut off each line."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     body = unmetafy("content") if zsh else F.col("content")
-    text = valid_utf8(body)
+    text = F.regexp_replace(valid_utf8(body), r"\n\z", "")  # a last line feed ends a line and starts none
     lines = files.select("path", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return lines.withColumn("line", F.regexp_replace("line", r"\r\z", ""))
 
