@@ -117,4 +117,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_quality_rules": oracles.QUALITY_RULES,
+    "op8_chat_format": oracles.CHAT_FORMAT,
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op10_topk": oracles.TOPK,
 }
