@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+# The blocks whose characters stand alone.
+_IDEOGRAPHS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
+
 
 def _kind(c: str) -> str:
     """space, punctuation, ideograph, control or letter."""
@@ -14,8 +17,7 @@ def _kind(c: str) -> str:
         return "control"
     if 33 <= code <= 47 or 58 <= code <= 64 or 91 <= code <= 96 or 123 <= code <= 126 or category[0] == "P":
         return "punctuation"
-    ideographs = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
-    return "ideograph" if any(a <= code <= b for a, b in ideographs) else "letter"
+    return "ideograph" if any(a <= code <= b for a, b in _IDEOGRAPHS) else "letter"
 
 
 def basic_tokens(text: str) -> list[str]:
