@@ -165,6 +165,8 @@ def _repeats_by_count(runs: DataFrame) -> DataFrame:
 
     found = materialize(runs.mapInArrow(run, "a long, b int, __id long, __th long, pos int"), "windows")
     least = found.groupBy("a", "b").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("a", "b", "least")
+    # a written side: a grouping directly under the join would keep adaptive execution from splitting a hot window
+    least = materialize(least, "least")
     hits = found.join(least.hint("merge"), ["a", "b"]).where("__id > least").select("__id", "__th", F.array("pos").alias("starts"))
     # written by itself, so that nothing else in the plan keeps adaptive execution from splitting a hot window
     return materialize(hits, "hot-windows")
