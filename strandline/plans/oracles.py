@@ -39,6 +39,12 @@ x2 AS (SELECT * FROM (SELECT query_id, id, fits, row_number() OVER (PARTITION BY
 _LINES = """h AS (SELECT conv_id AS path, turn AS line_no, CASE WHEN turn % 3 = 1 THEN concat('#17000000', lpad(CAST(turn AS VARCHAR), 2, '0'))
   ELSE string_split(coalesce(text, ''), chr(10))[1] END AS line FROM conversations)"""
 
+_WHOLE = "h AS (SELECT path, turn * 4294967296 + generate_subscripts(lines, 1) - 1 AS line_no, unnest(lines) AS line FROM t)"
+
+_SPACE = r"[\s\x0B\p{Z}]+"
+
+_TIMED = r"(?s)^: (-?[0-9]+):(-?[0-9]+);(.*)$"
+
 _AGO = f"""CASE WHEN started_at IS NULL THEN NULL ELSE coalesce((SELECT min_by(concat(s // size, ' ', unit, CASE WHEN s // size = 1 THEN '' ELSE 's' END, ' ago'), -size)
   FROM (VALUES (31536000, 'year'), (2592000, 'month'), (604800, 'week'), (86400, 'day'), (3600, 'hour'), (60, 'minute')) AS u(size, unit), (SELECT ({NOW_MS} - started_at) // 1000 AS s) WHERE s >= size), 'just now') END"""
 
@@ -103,6 +109,19 @@ ORACLE_SQL = {
         SELECT * FROM (SELECT path, seq, CASE WHEN m THEN regexp_extract(text, '(?s)^: (-?[0-9]+):(-?[0-9]+);(.*)$', 3) ELSE text END AS command,
           CASE WHEN m THEN 1700000000000 END AS started_at, CASE WHEN m THEN CAST(regexp_extract(text, '(?s)^: (-?[0-9]+):(-?[0-9]+);(.*)$', 2) AS BIGINT) * 1000 END AS duration_ms
           FROM (SELECT *, regexp_matches(text, '(?s)^: (-?[0-9]+):(-?[0-9]+);(.*)$') AS m FROM j)) WHERE trim(regexp_replace(command, '\s+', '', 'g')) <> ''""",
+    "parse_history_whole": rf"""WITH t AS (SELECT conv_id AS path, turn, list_concat(CASE WHEN turn % 3 = 1 THEN [concat('#17000000', lpad(CAST(turn AS VARCHAR), 2, '0'))] ELSE [] END, string_split(coalesce(text, ''), chr(10))) AS lines FROM conversations),
+        {_WHOLE}, s AS (SELECT *, CASE WHEN regexp_full_match(line, '#[0-9]+') THEN TRY_CAST(substr(line, 2) AS BIGINT) END AS stamp FROM h),
+        g AS (SELECT *, count(stamp) OVER (PARTITION BY path ORDER BY line_no) AS entry FROM s),
+        timed AS (SELECT path, min(line_no) AS seq, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE stamp IS NULL) AS body, max(stamp) AS stamp FROM g WHERE entry > 0 GROUP BY path, entry)
+        SELECT path, line_no AS seq, line AS command, CAST(NULL AS BIGINT) AS started_at FROM g WHERE entry = 0 AND regexp_replace(line, '{_SPACE}', '', 'g') <> ''
+        UNION ALL SELECT path, seq, regexp_replace(body, '^([ \t\r\f]*\n)+', '') AS command, stamp * 1000 FROM timed WHERE regexp_replace(coalesce(body, ''), '{_SPACE}', '', 'g') <> ''""",
+    "parse_zsh_history_whole": rf"""WITH c AS (SELECT conv_id AS path, turn, coalesce(text, '') AS text FROM conversations),
+        t AS (SELECT path, turn, string_split(concat(CASE WHEN turn % 2 = 0 THEN concat(': 1700000000:', turn, ';', replace(text, chr(10), '\' || chr(10))) ELSE text END, CASE WHEN turn % 4 = 2 THEN '\' ELSE '' END), chr(10)) AS lines FROM c),
+        {_WHOLE}, g AS (SELECT *, sum(CASE WHEN coalesce(prev, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY line_no) AS entry FROM (SELECT *, lag(suffix(line, '\')) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM h)),
+        j AS (SELECT path, min(line_no) AS seq, string_agg(CASE WHEN suffix(line, '\') THEN concat(line[:-2], chr(10)) ELSE line END, '' ORDER BY line_no) AS text FROM g GROUP BY path, entry),
+        m AS (SELECT *, TRY_CAST(regexp_extract(text, '{_TIMED}', 1) AS BIGINT) AS s, TRY_CAST(regexp_extract(text, '{_TIMED}', 2) AS BIGINT) AS e FROM j)
+        SELECT * FROM (SELECT path, seq, CASE WHEN s IS NOT NULL AND e IS NOT NULL THEN regexp_extract(text, '{_TIMED}', 3) ELSE text END AS command,
+          CASE WHEN e IS NOT NULL THEN s * 1000 END AS started_at, CASE WHEN s IS NOT NULL THEN e * 1000 END AS duration_ms FROM m) WHERE regexp_replace(command, '{_SPACE}', '', 'g') <> ''""",
     "scrub_env": "SELECT event_id, 'export API_TOKEN=<REDACTED:secret-env> && ./run' AS text, CAST(1 AS INTEGER) AS redactions FROM events",
     "class_entropy": """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}')) AS token, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), 1) - 1 AS pos FROM documents),
         k AS (SELECT doc_id, pos, c, count(*) AS n, any_value(length(token)) AS m FROM (SELECT doc_id, pos, token, unnest(string_split(token, '')) AS c FROM t) GROUP BY doc_id, pos, c)

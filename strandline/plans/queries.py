@@ -246,6 +246,34 @@ def parse_zsh_history(spark, d):
     return zsh_entries(lines).select("path", "seq", "command", "started_at", "duration_ms")
 
 
+def _whole_lines(texts, *before):
+    """Lines of whole texts (path, turn, text): cut at line feeds only, numbered by turn and position, behind the lines ``before``."""
+    lines = F.concat(*before, F.split("text", "\n"))
+    return texts.select("path", "turn", F.posexplode(lines).alias("pos", "line")).select("path", (F.col("turn") * (1 << 32) + F.col("pos")).alias("line_no"), "line")
+
+
+def _whole_texts(spark, d):
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("path"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def parse_history_whole(spark, d):
+    """Conversations as bash histories: every line of every text, and a time line before the text of every third turn."""
+    stamp = F.concat(F.lit("#17000000"), F.lpad(F.col("turn").cast("string"), 2, "0"))
+    lines = _whole_lines(_whole_texts(spark, d), F.when(F.col("turn") % 3 == 1, F.array(stamp)).otherwise(F.array().cast("array<string>")))
+    return bash_entries(lines).select("path", "seq", "command", "started_at")
+
+
+def parse_zsh_history_whole(spark, d):
+    """Conversations as zsh histories: a text of an even turn is one timed entry, its line feeds behind backslashes; lines of the others stand alone.
+
+    Every second timed entry runs on into the next turn.
+    """
+    timed = F.concat(F.lit(": 1700000000:"), F.col("turn").cast("string"), F.lit(";"), F.replace("text", F.lit("\n"), F.lit("\\\n")))
+    text = F.when(F.col("turn") % 2 == 0, timed).otherwise(F.col("text"))
+    text = F.when(F.col("turn") % 4 == 2, F.concat(text, F.lit("\\"))).otherwise(text)
+    return zsh_entries(_whole_lines(_whole_texts(spark, d).withColumn("text", text))).select("path", "seq", "command", "started_at", "duration_ms")
+
+
 def scrub_env(spark, d):
     raw = F.concat(F.lit("  export API_TOKEN=tok"), F.col("event_id").cast("string"), F.lit(" && ./run "))
     rows = table(spark, d, "events").select("event_id", redact.scrub(raw).alias("s"))
@@ -305,7 +333,7 @@ QUERIES = {
         upsert_commands, stream_upsert, latest_execution, filter_dir, filter_session, filter_failed, recent_commands, hydrate_results, find_substring,
         stats_by_source, last_live_run, pending_embeddings, pending_count, save_embeddings, embedding_matrix, forget_cascade, forgotten_runs,
         keyword_and, keyword_or, keyword_filtered, keyword_index, vector_topk, vector_topk_filtered, normalised_vectors, rrf_fuse, hybrid_search,
-        library_dedup, eval_metrics, eval_grid, parse_history, parse_zsh_history, scrub_env, class_entropy, relative_time, details_line, panel_rows,
+        library_dedup, eval_metrics, eval_grid, parse_history, parse_zsh_history, parse_history_whole, parse_zsh_history_whole, scrub_env, class_entropy, relative_time, details_line, panel_rows,
         epoch_times, git_roots, installed_tools, toy_ranker,
     )
 }
