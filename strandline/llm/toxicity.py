@@ -80,9 +80,20 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np
     return w, free[0] + np.concatenate(([0.0], np.cumsum(np.exp(free[1:]))))
 
 
+def _one_of_each(rows: DataFrame, max_rows: int) -> DataFrame:
+    """One row per id and text; of more than ``max_rows``, one text of every id and then those with the smallest hash."""
+    rows = rows.dropDuplicates(["id", "text"]).withColumn("h", F.xxhash64("text"))
+    keys = materialize(rows.select("id", "h"), "labelled-keys")  # the sort below holds numbers, not texts
+    first = keys.groupBy("id").agg(F.min("h").alias("first"))
+    keys = keys.join(F.broadcast(first), "id").orderBy(F.col("h") != F.col("first"), F.xxhash64("id", "h"), "id", "h").limit(max_rows)
+    return rows.join(F.broadcast(keys.select("id", "h").distinct()), ["id", "h"]).drop("h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, least_docs: int = 5, n_grades: int = 4, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most ``max_rows`` labelled documents: those whose id has the smallest hash.
 
+    A document that repeats an id and its text counts once; an id's other texts have its label too.
+
     Labels say toxic or not.  Grade 0 is not toxic; toxic documents take grades 1 .. n_grades - 1 in equal
     parts, by how large a share of their words are ones that labels tie to toxicity.  Candidate features
     stand in ``least_docs`` of the documents and lean most to the toxic class (by z score), so that a text
@@ -91,13 +102,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     Null labels and ids are left out.  Without both classes the model finds nothing toxic.
     """
     some = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
+    # by id before it is counted: labels that repeat ids must not narrow the range
+    some = materialize(some.groupBy("id").agg(F.max("y").alias("y")), "label-ids")
     # a hash range that holds about twice the bound, so that the sort by hash behind it is small at every size
     share = min(1.0, 2 * max_rows / max(1, some.count()))
     place = F.shiftrightunsigned(F.xxhash64("id"), 11) * F.lit(2.0**-53)
-    some = some.where(place <= share).groupBy("id").agg(F.max("y").alias("y")).orderBy(place, "id").limit(max_rows)
+    some = some.where(place <= share).orderBy(place, "id").limit(max_rows)
     some = materialize(some, "labels")
     # at most max_rows pairs of numbers: small enough to broadcast whatever the corpus holds
     rows = materialize(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id"), "labelled")
+    if rows.groupBy("id").count().where("count > 1").limit(1).count():
+        rows = materialize(_one_of_each(rows, max_rows), "labelled-once")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())

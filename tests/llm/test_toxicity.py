@@ -38,3 +38,19 @@ def test_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     none = toxicity.fit(docs, frame.select("doc_id", "toxic").limit(0))
     assert not any(r.toxic for r in toxicity.score(docs, none).collect())
+
+
+def test_repeated_ids_fill_the_sample(spark, monkeypatch):
+    """Labels that repeat ids leave the sample whole, and documents that repeat them do not pass its bound."""
+    say = F.when(F.col("doc_id") % 3 == 0, "such a vile fool").otherwise("a fine day for all")
+    docs = spark.range(100).withColumnRenamed("id", "doc_id").withColumn("text", say)
+    labels = spark.range(400_000).select((F.col("id") % 100).alias("doc_id"), (F.col("id") % 100 % 3 == 0).cast("int").alias("toxic"))
+    used, plain = [], toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda r, c, v, grades, *a, **k: used.append(grades) or plain(r, c, v, grades, *a, **k))
+    model = toxicity.fit(docs, labels, max_rows=100)
+    assert [(len(g), (g > 0).sum()) for g in used] == [(100, 34)]
+    assert toxicity.score(docs, model).where("toxic").count() == 34
+    more = docs.union(docs).union(spark.range(500).select(F.lit(0).cast("long"), F.concat(F.lit("such a vile fool "), F.col("id").cast("string"))))
+    toxicity.fit(more, labels, max_rows=120)
+    toxicity.fit(more, labels, max_rows=1000)
+    assert [len(g) for g in used[1:]] == [120, 600] and (used[1] == 0).sum() == 66
