@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import schemas
@@ -86,12 +86,21 @@ class Store:
 
     def import_files(self, paths: list[str], shell: str, force: bool = False) -> int:
         """History files that were not imported before; each is marked in the same breath."""
+        return self.import_counted(paths, shell, force)["imported"]
+
+    def import_counted(self, paths: list[str], shell: str, force: bool = False) -> dict[str, int]:
+        """``import_files`` with its counts: entries imported, secrets redacted in them, entries skipped as private or empty."""
         files = self.spark.createDataFrame([(p,) for p in paths], "path string")
         todo = [r.path for r in store.new_files(files, self.table("meta"), force).collect()]
-        n = self.add_batch(import_history(read_history(self.spark, todo, shell))) if todo else 0
+        if not todo:
+            return {"imported": 0, "redacted": 0, "skipped": 0}
+        # counted in the write itself: a history file may grow between two reads
+        read, kept = Observation(), Observation()
+        entries = read_history(self.spark, todo, shell).observe(read, F.count(F.lit(1)).alias("n"))
+        n = self.add_batch(import_history(entries).observe(kept, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("redacted"), F.lit(0)).alias("redacted")))
         for p in todo:
             self.set_meta(f"imported:{p}", str(_now()))
-        return n
+        return {"imported": n, "redacted": kept.get["redacted"], "skipped": read.get["n"] - kept.get["n"]}
 
     def forget(self, part: str) -> int:
         """Delete all commands that hold ``part``, with their runs and vectors; returns the number of runs."""
