@@ -9,33 +9,58 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="strandline-"))
     return "file://" + _own_dir[0]
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; what is written there is deleted when the driver's JVM ends."""
+    own = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        where, fs = _hadoop(spark, own)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _folders.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors; unlike a checkpoint it is columnar, so
-    later plans prune columns and know the table's size.  Deleted when the driver's JVM ends.
-    Shuffle files of the plan that made it are released as soon as the driver's collector runs.
+    later plans prune columns and know the table's size.  Deleted by ``release`` or when the driver's JVM
+    ends.  Shuffle files of the plan that made it are released as soon as the driver's collector runs.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made, once all that reads them is itself written."""
+    for t in tables:
+        where, fs = _hadoop(t.sparkSession, t._written_at)
+        fs.delete(where, True)
 
 
 def let(value: Column, body) -> Column:
