@@ -1,10 +1,12 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Three exact reductions keep the count small.  A document whose whole word sequence stands in a smaller
+Four exact reductions keep the count small.  A document whose whole word sequence stands in a smaller
 document goes as a whole, so only one row of each group of copies is looked at.  Each window then carries
 an anchor, the least hash of the shorter grams inside it: equal windows have equal anchors, so a window
 whose anchor stands in one document alone cannot be repeated, and only the others are shipped and
-counted.  Window hashes are two 64-bit polynomials with different bases over 64-bit word hashes.
+counted.  Consecutive windows under one anchor are a run; equal runs are counted as one, and only where
+runs differ are their windows counted singly.  Window hashes are two 64-bit polynomials with different
+bases over 64-bit word hashes, of which 96 bits are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.plans.shared import materialize
+from strandline.plans.shared import materialize, release
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -100,57 +102,36 @@ def _sketch(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(mark, hot, __id, __th, pos, body): runs of consecutive windows under one of the row's shared anchors.
+    """(mark, key, n, pos, __id, __th, body): runs of consecutive windows under one of the row's shared anchors.
 
-    ``body`` packs the windows' hashes, 12 bytes each, from the one that starts at word ``pos``.
+    ``body`` packs the ``n`` windows' hashes, 12 bytes each, from the one that starts at word ``pos``; ``key``
+    is a hash of it.
     """
-    names = ["mark", "hot", "__id", "__th", "pos", "body"]
+    names = ["mark", "key", "n", "pos", "__id", "__th", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in (p for b in batches for p in _parts(b, 64)):
             out: list[tuple] = []
-            for i, th, text, marks, hot in zip(*(batch.column(c) for c in ("__id", "__th", "__text", "marks", "hot"))):
+            for i, th, text, marks in zip(*(batch.column(c) for c in ("__id", "__th", "__text", "marks"))):
                 hashes = word_hashes(text.as_py().split())
                 least = anchors(hashes, window, gram).view(np.int64)
                 edges = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1, [len(least)]))
-                known, kept = marks.values.to_numpy(zero_copy_only=False), np.isin(least[edges[:-1]], marks.values.to_numpy(zero_copy_only=False))
-                busy = dict(zip(known.tolist(), hot.as_py()))
                 packed = np.empty(len(least), _PACKED)
                 packed["a"], packed["b"] = rolling(hashes, window, _BASES[0]), rolling(hashes, window, _BASES[1]) >> np.uint64(32)
-                for k in np.flatnonzero(kept).tolist():
-                    mark = int(least[edges[k]])
-                    out.append((mark, busy[mark], i.as_py(), th.as_py(), int(edges[k]), packed[edges[k] : edges[k + 1]].tobytes()))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], names=names)
-
-    return docs.mapInArrow(run, "mark long, hot boolean, __id long, __th long, pos int, body binary")
+                for k in np.flatnonzero(np.isin(least[edges[:-1]], marks.values.to_numpy(zero_copy_only=False))).tolist():
+                    at, end = int(edges[k]), int(edges[k + 1])
+                    body = packed[at:end].tobytes()
+                    out.append((int(least[at]), xxhash.xxh3_64_intdigest(body) - (1 << 63), end - at, at, i.as_py(), th.as_py(), body))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, kinds)], names=names)
 
+    return docs.mapInArrow(run, "mark long, key long, n int, pos int, __id long, __th long, body binary")
 
-def _repeats_in_order(runs: DataFrame) -> DataFrame:
-    """(__id, __th, starts) from runs that stand together by mark, ascending by id.
 
-    Going up by id, a window whose hash a smaller id has shown is repeated.  A task holds one mark's
-    distinct hashes at a time, and marks that many documents share do not come here.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, seen = None, {}
-        for batch in batches:
-            out = []
-            for mark, i, th, pos, body in zip(*(batch.column(c).to_pylist() for c in ("mark", "__id", "__th", "pos", "body"))):
-                if mark != current:
-                    current, seen = mark, {}
-                starts = [pos + k for k, h in enumerate(np.frombuffer(body, "V12").tolist()) if seen.setdefault(h, i) < i]
-                if starts:
-                    out.append((i, th, starts))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, kinds)], names=["__id", "__th", "starts"])
-
-    return runs.repartition("mark").sortWithinPartitions("mark", "__id").mapInArrow(run, "__id long, __th long, starts array<int>")
-
-
-def _repeats_by_count(runs: DataFrame) -> DataFrame:
-    """(__id, __th, starts) for marks that many documents share: one row per window, counted and joined in Spark."""
+def _windows(runs: DataFrame) -> DataFrame:
+    """(a, b, __id, __th, pos): one row per window of the runs, by its 96-bit hash."""
     names = ["a", "b", "__id", "__th", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,61 +141,87 @@ def _repeats_by_count(runs: DataFrame) -> DataFrame:
             flat = np.concatenate([np.empty(0, _PACKED), *bodies])
             pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(batch.column("pos").to_numpy(zero_copy_only=False), n)
             ids, ths = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("__id", "__th"))
-            cols = [flat["a"].view(np.int64) if flat["a"].flags.c_contiguous else np.ascontiguousarray(flat["a"]).view(np.int64), np.ascontiguousarray(flat["b"]).view(np.int32), ids, ths, pos.astype(np.int32)]
+            cols = [np.ascontiguousarray(flat["a"]).view(np.int64), np.ascontiguousarray(flat["b"]).view(np.int32), ids, ths, pos.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    found = materialize(runs.mapInArrow(run, "a long, b int, __id long, __th long, pos int"), "windows")
-    least = found.groupBy("a", "b").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("a", "b", "least")
-    # a written side: a grouping directly under the join would keep adaptive execution from splitting a hot window
-    least = materialize(least, "least")
-    hits = found.join(least.hint("merge"), ["a", "b"]).where("__id > least").select("__id", "__th", F.array("pos").alias("starts"))
-    # written by itself, so that nothing else in the plan keeps adaptive execution from splitting a hot window
-    return materialize(hits, "hot-windows")
+    return runs.select("__id", "__th", "pos", "body").mapInArrow(run, "a long, b int, __id long, __th long, pos int")
 
 
-def merge(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Maximal [start, end) word intervals covered by windows that begin at ``starts``."""
-    starts = np.unique(starts)
+def _seen_before(rows: DataFrame, keys: list[str], firsts: DataFrame) -> DataFrame:
+    """Rows that a smaller id holds too, by ``firsts`` (keys, least, most): the ids of every key."""
+    # both sides are written: a grouping directly under or over the join would keep adaptive execution from splitting a hot key
+    return materialize(rows.join(firsts.where("least < most").select(*keys, "least").hint("merge"), keys).where("__id > least").select("__id", "__th", "pos", "n"), "repeats")
+
+
+def _repeats(runs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(__id, __th, pos, n): runs of ``n`` windows from ``pos`` on that repeat, all counted in Spark.
+
+    Runs are counted whole first: a run that a smaller id holds is repeated in all its windows.  What is
+    left are the first rows of every distinct run; where runs under one anchor differ (a passage that was
+    changed, or is cut off), the windows of those are counted one by one.  A window's least id is the least
+    over the distinct runs that hold it, so nothing is lost, and a passage that very many rows share is one
+    run, summed up by each task before the shuffle, however many rows share it.
+    """
+    firsts = materialize(runs.groupBy("mark", "key").agg(F.min("__id").alias("least"), F.max("__id").alias("most")), "run-counts")
+    whole = _seen_before(runs.select("mark", "key", "__id", "__th", "pos", "n"), ["mark", "key"], firsts)
+    several = firsts.groupBy("mark").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("mark")
+    heads = materialize(firsts.join(several.hint("merge"), "mark").select("mark", "key", "least"), "run-heads")
+    found = materialize(_windows(runs.join(heads.hint("merge"), ["mark", "key"]).where("__id = least")), "windows")
+    least = materialize(found.groupBy("a", "b").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most"), "window-counts")
+    single = _seen_before(found.withColumn("n", F.lit(1)), ["a", "b"], least)
+    release(firsts, heads, found, least)
+    return whole.union(single), [whole, single]
+
+
+def merge(starts: np.ndarray, counts: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Maximal [start, end) word intervals covered by ``counts`` consecutive windows from each of ``starts``."""
     if not len(starts):
         return []
-    breaks = np.flatnonzero(np.diff(starts) > window)
-    first = np.concatenate((starts[:1], starts[breaks + 1]))
-    last = np.concatenate((starts[breaks], starts[-1:])) + window
-    return list(zip(first.tolist(), last.tolist()))
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate((starts + counts - 1 + window)[order])
+    breaks = np.flatnonzero(starts[1:] > ends[:-1])
+    return list(zip(starts[np.concatenate(([0], breaks + 1))].tolist(), ends[np.concatenate((breaks, [len(ends) - 1]))].tolist()))
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16, gather: int = 2048) -> DataFrame:
+def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
     """(__id, __th, spans): the word intervals to remove, for rows that lose any.
 
     A word goes if a ``window``-word sequence over it also starts in a row with a smaller id; ``spans``
-    holds maximal [start, end) intervals.  __th is the hash of the row's text (see ``_keyed``).  Windows
-    under an anchor of up to ``gather`` documents meet in one task, in order of id; those under a more
-    common anchor are counted one by one, so that no task gets all of a passage that very many share.
-    What is joined grows with the corpus, and is a table of arrays or hashes that Parquet's size understates:
-    the joins are merge joins at every size, never broadcasts.
+    holds maximal [start, end) intervals.  __th is the hash of the row's text (see ``_keyed``).  What is
+    joined grows with the corpus, and is a table of arrays or hashes that Parquet's size understates: the
+    joins are merge joins at every size, never broadcasts.
     """
     keyed = _keyed(docs, id, text)
-    sketch = materialize(_sketch(keyed, window, gram), "sketch").where(F.col("__id").isNotNull() & (F.col("n_words") >= window))
+    written = materialize(_sketch(keyed, window, gram), "sketch")
+    sketch = written.where(F.col("__id").isNotNull() & (F.col("n_words") >= window))
     firsts = sketch.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").select("digest", "first")
+    firsts = materialize(firsts, "copies")
     placed = sketch.join(firsts.hint("merge"), "digest", "left")
-    copies = placed.where("__id > first").select("__id", "__th", "n_words")
+    copies = materialize(placed.where("__id > first").select("__id", "__th", "n_words"), "copied")
     alone = placed.where("first is null or __id = first").select("__id", "__th", F.explode("anchors").alias("mark"))
-    shared = alone.groupBy("mark").agg(F.min("__id").alias("least"), F.max("__id").alias("most"), (F.count("*") > gather).alias("hot")).where("least < most").select("mark", "hot")
-    marks = alone.join(shared.hint("merge"), "mark").groupBy("__id", "__th").agg(F.collect_list("mark").alias("marks"), F.collect_list("hot").alias("hot"))
-    marks = materialize(marks, "marks")
+    shared = alone.groupBy("mark").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("mark")
+    shared = materialize(shared, "shared")
+    marks = materialize(alone.join(shared.hint("merge"), "mark").groupBy("__id", "__th").agg(F.collect_list("mark").alias("marks")), "marks")
+    release(written, firsts, shared)
     runs = materialize(_runs(keyed.select("__id", "__th", "__text").join(marks.hint("merge"), ["__id", "__th"]), window, gram), "runs")
-    hits = _repeats_in_order(runs.where("not hot"))
-    if runs.where("hot").limit(1).count():
-        hits = hits.union(_repeats_by_count(runs.where("hot")))
-    hits = hits.groupBy("__id", "__th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    release(marks)
+    hits, parts = _repeats(runs)
+    release(runs)
+    hits = hits.groupBy("__id", "__th").agg(F.collect_list(F.struct("pos", "n")).alias("hits"))
 
     @F.pandas_udf("array<struct<start: int, end: int>>")
-    def merged(starts):
-        return starts.map(lambda s: [{"start": a, "end": b} for a, b in merge(np.asarray(s, np.int64), window)])
+    def merged(hits):
+        def spans(own):
+            at, n = (np.fromiter((h[c] for h in own), np.int64, len(own)) for c in ("pos", "n"))
+            return [{"start": a, "end": b} for a, b in merge(at, n, window)]
+
+        return hits.map(spans)
 
     whole = copies.select("__id", "__th", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"))
+    out = materialize(whole.union(hits.select("__id", "__th", merged("hits").alias("spans"))), "spans")
+    release(copies, *parts)
     # rows repeated whole share a key; they lose the same words
-    return materialize(whole.union(hits.select("__id", "__th", merged("starts").alias("spans"))), "spans").dropDuplicates(["__id", "__th"])
+    return out.dropDuplicates(["__id", "__th"])
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -229,7 +236,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16, gather: int = 2048) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
     """``docs`` with ``text`` cut, plus ``n_words``, ``n_removed`` and ``spans``.
 
     Null texts have no words and stay null; texts shorter than the window, and rows with a null id, are
@@ -239,7 +246,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     """
     new = ["n_words", "n_removed", "spans"]
     body = docs.drop(*new, "__id", "__th", "__text", "__spans")
-    spans = repeated_spans(docs, id, text, window, gram, gather).withColumnRenamed("spans", "__spans")
+    spans = repeated_spans(docs, id, text, window, gram).withColumnRenamed("spans", "__spans")
     joined = _keyed(body, id, text).join(spans.hint("merge"), ["__id", "__th"], "left").withColumn("__null", F.col(text).isNull())
     keep = [f for f in body.schema.fields if f.name != text]
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

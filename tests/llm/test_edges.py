@@ -165,10 +165,10 @@ def test_chat_windows(spark):
 def test_substring_edges(spark):
     docs = documents(spark)
     rows = docs.collect()
-    for width, gram, gather in ((50, 16, 2048), (5, 3, 2048), (50, 16, 1)):
+    for width, gram in ((50, 16), (5, 3)):
         want = plain_removal([(r.doc_id, r.text) for r in rows], width)
         expected = sorted((str(rows[k].doc_id), str([w for p, w in enumerate(words) if p not in gone]), len(gone)) for k, (words, gone) in want.items())
-        out = substrings.remove_repeats(docs, window=width, gram=gram, gather=gather)
+        out = substrings.remove_repeats(docs, window=width, gram=gram)
         assert out.columns == [c for c in docs.columns if c not in ("n_words", "spans")] + ["n_words", "n_removed", "spans"]
         got = out.collect()
         assert sorted((str(r.doc_id), str(WORD.findall(r.text or "")), r.n_removed) for r in got) == expected
@@ -177,6 +177,25 @@ def test_substring_edges(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_changed_passages(spark):
+    """Passages that many documents share, whole, cut off and with words changed, against brute force."""
+    rnd = random.Random(11)
+    vocab = [f"w{k}" for k in range(200)]
+    passages = [[rnd.choice(vocab) for _ in range(rnd.randint(20, 80))] for _ in range(5)]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rnd.randint(0, 4)):
+            part = list(rnd.choice(passages))
+            for _ in range(rnd.choice([0, 0, 1, 3])):
+                part[rnd.randrange(len(part))] = rnd.choice(vocab)
+            words += part[rnd.choice([0, 0, 7]) :] + [rnd.choice(vocab) for _ in range(rnd.randint(0, 9))]
+        rows.append((rnd.randrange(100), " ".join(words)))
+    want = sorted((rows[k][0], [w for p, w in enumerate(words) if p not in gone]) for k, (words, gone) in plain_removal(rows, 12).items())
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=12, gram=5).collect()
+    assert sorted((r.doc_id, WORD.findall(r.text)) for r in got) == want
+
+
 def test_topk_edges(spark):
     rnd = random.Random(4)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
