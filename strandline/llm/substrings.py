@@ -165,11 +165,12 @@ def _repeats(runs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     firsts = materialize(runs.groupBy("mark", "key").agg(F.min("__id").alias("least"), F.max("__id").alias("most")), "run-counts")
     whole = _seen_before(runs.select("mark", "key", "__id", "__th", "pos", "n"), ["mark", "key"], firsts)
     several = firsts.groupBy("mark").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("mark")
+    several = materialize(several, "several")  # written for the same reason as in ``_seen_before``
     heads = materialize(firsts.join(several.hint("merge"), "mark").select("mark", "key", "least"), "run-heads")
     found = materialize(_windows(runs.join(heads.hint("merge"), ["mark", "key"]).where("__id = least")), "windows")
     least = materialize(found.groupBy("a", "b").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most"), "window-counts")
     single = _seen_before(found.withColumn("n", F.lit(1)), ["a", "b"], least)
-    release(firsts, heads, found, least)
+    release(firsts, several, heads, found, least)
     return whole.union(single), [whole, single]
 
 
