@@ -2,9 +2,10 @@
 
 Where no piece of a vocabulary holds a white-space marker behind another character, segmentation can
 never cross from one marked word (markers, then non-markers) into the next; the same holds at line
-feeds where no longer piece holds one.  So each distinct marked word is segmented once, by the
-library itself, and the ids are joined back by position.  The table lives in the Python worker and
-is bounded: one that grows past its limit is emptied, which costs time and never changes a result.
+feeds where no longer piece holds one.  So each distinct marked word of the corpus is segmented once, by
+the library itself.  Documents are packed, some million characters together, with their distinct words
+and, for every document, the places of its words among those; the packs' words, counted once a pack, meet
+the written table of distinct words in a join, and the ids go back to their pack by position.
 """
 
 from __future__ import annotations
@@ -15,32 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.plans.shared import materialize
 
 MARK = "▁"
 
 
-class ChunkTable(dict):
-    """Marked word -> its ids as little-endian unsigned 32-bit bytes, filled on demand."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.chars = encode, 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk), dtype="<u4").tobytes()
-        self[chunk] = ids
-        self.chars += len(chunk) + len(ids) + 160
-        return ids
-
-
 class Codec:
-    """Encodes whole texts exactly as the library does; ``table_bytes`` bounds the table of marked words."""
+    """What a model needs for encoding word by word, exactly as the library encodes whole texts."""
 
-    def __init__(self, model: str | bytes, table_bytes: int = 128 << 20):
+    def __init__(self, model: str | bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -56,32 +45,83 @@ class Codec:
         self.find = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if borders else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         norm.add_dummy_prefix = False  # a marked word brings its own marker
-        chunks = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.table = ChunkTable(lambda c: chunks.encode(c))
-        self.most = table_bytes
+        self.chunks = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         self.bos, self.eos = (np.array([x], dtype="<u4").tobytes() for x in (self.whole.bos_id(), self.whole.eos_id()))
 
-    def encode(self, text: str) -> bytes:
-        """Ids with begin and end ids, little-endian unsigned 32-bit."""
-        if self.table.chars > self.most:
-            self.table.clear()
-            self.table.chars = 0
+    def split(self, text: str) -> list[str]:
+        """The marked words of a text, in order."""
         marked = text.replace(" ", MARK)
-        if marked and self.prefix:
-            marked = MARK + marked
-        return b"".join((self.bos, *map(self.table.__getitem__, self.find(marked)), self.eos))
+        return self.find(MARK + marked if marked and self.prefix else marked)
+
+    def segment(self, word: str) -> bytes:
+        """Ids of one marked word, little-endian unsigned 32-bit."""
+        return np.array(self.chunks.encode(word), dtype="<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         return self.whole.decode(np.frombuffer(ids, dtype="<u4").tolist())
 
 
-def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_ids: bool = True) -> DataFrame:
+def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> DataFrame:
+    """(part, words, body): documents of one task together, up to ``pack_chars`` characters or one longer text.
+
+    ``words`` are the pack's distinct marked words; ``body`` is a compressed Arrow batch of the columns
+    ``keep`` and, as ``__at``, every document's word places.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, part = Codec(model), TaskContext.get().partitionId() << 32
+        index: dict[str, int] = {}
+        held, at, size = [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            rows = pa.Table.from_batches(held).append_column("__at", pa.chunked_array([pa.array(at, pa.list_(pa.int32()))])).combine_chunks()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            cols = [pa.array([part], pa.int64()), pa.array([list(index)], pa.list_(pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "words", "body"])
+
+        for batch in batches:
+            texts, kept, first = batch.column("__text"), batch.select(keep), 0
+            for k, text in enumerate(texts):
+                text = text.as_py() or ""
+                at.append(np.fromiter((index.setdefault(w, len(index)) for w in codec.split(text)), np.int32))
+                size += len(text) + 64
+                if size >= pack_chars:
+                    held.append(kept.slice(first, k + 1 - first))
+                    yield emit()
+                    first, part, size, held, at = k + 1, part + 1, 0, [], []
+                    index.clear()
+            if first < len(texts):
+                held.append(kept.slice(first))
+        if at:
+            yield emit()
+
+    return docs.mapInArrow(run, "part long, words array<string>, body binary")
+
+
+def _table(words: DataFrame, model: bytes) -> DataFrame:
+    """(word, word_ids): every distinct marked word, segmented once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([codec.segment(w.as_py()) for w in batch.column("word")], pa.binary())], names=["word", "word_ids"])
+
+    return words.distinct().mapInArrow(run, "word string, word_ids binary")
+
+
+def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_ids: bool = True, pack_chars: int = 1 << 21) -> DataFrame:
     """``docs`` without its text, plus ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and (unless told
     otherwise) ``ids array<int>`` and ``decoded``.
 
     Null and empty texts give begin and end id only.  Very long texts are encoded whole, in memory in
-    proportion to the text.  Equal rows give equal rows; an empty table gives an empty result.  Input
-    columns named like an output column are replaced.  No shuffle: a lost executor costs its tasks.
+    proportion to the text.  Equal rows give equal rows, each its own; nothing depends on an order, so there
+    are no ties; an empty table gives an empty result.  Input columns named like an output column are
+    replaced; others, null or not, go through unchanged.
+
+    The words shuffled are those of each pack (``pack_chars`` characters), not every occurrence.  A word
+    that stands in all packs has one row a pack, and is joined to a written table, so that adaptive execution
+    can split it.  Packs and table are written, so a lost executor costs its own tasks.
     """
     model = model if isinstance(model, bytes) else open(model, "rb").read()
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -92,15 +132,25 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = Codec(model), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            texts = batch.column("__text")
-            for start in range(0, len(batch), 256):  # what is held at once stays small beside the batch
-                part = [x.as_py() or "" for x in texts[start : start + 256]]
-                ids = [codec.encode(x) for x in part]
-                back = [codec.decode(x) for x in ids]
-                made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(x.encode()) for x in back], pa.string())]
-                if with_ids:
-                    made += [pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32())), pa.array(back, pa.string())]
-                kept = [batch.column(f.name)[start : start + 256] for f in keep]
-                yield pa.RecordBatch.from_arrays(kept + made, names=schema.names)
-
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias("__text")).mapInArrow(run, schema)
+            for body, found in zip(batch.column("body"), batch.column("found")):
+                rows = pa.ipc.open_stream(body.as_buffer()).read_all().combine_chunks().to_batches()[0]
+                table = [b""] * (0 if found.values is None else len(found.values))
+                if table:
+                    for k, ids in zip(found.values.field("at").to_pylist(), found.values.field("word_ids").to_pylist()):
+                        table[k] = ids
+                for start in range(0, rows.num_rows, 256):  # what is held at once stays small beside the pack
+                    part = rows.slice(start, 256)
+                    ids = [b"".join((codec.bos, *map(table.__getitem__, at), codec.eos)) for at in part.column("__at").to_pylist()]
+                    back = [codec.decode(x) for x in ids]
+                    made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(x.encode()) for x in back], pa.string())]
+                    if with_ids:
+                        made += [pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32())), pa.array(back, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), *made], names=schema.names)
+
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias("__text"))
+    packs = materialize(_packs(rows, [f.name for f in keep], model, pack_chars), "packs")
+    wanted = packs.select("part", F.posexplode("words").alias("at", "word"))
+    table = materialize(_table(wanted.select("word"), model), "marked-words")
+    # merge joins at every size: arrays of strings are larger than Parquet says
+    found = wanted.join(table.hint("merge"), "word").groupBy("part").agg(F.collect_list(F.struct("at", "word_ids")).alias("found"))
+    return packs.select("part", "body").join(found.hint("merge"), "part", "left").select("body", "found").mapInArrow(run, schema)
