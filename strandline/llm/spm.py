@@ -3,9 +3,10 @@
 Where no piece of a vocabulary holds a white-space marker behind another character, segmentation can
 never cross from one marked word (markers, then non-markers) into the next; the same holds at line
 feeds where no longer piece holds one.  So each distinct marked word of the corpus is segmented once, by
-the library itself.  Documents are packed, some million characters together, with their distinct words
-and, for every document, the places of its words among those; the packs' words, counted once a pack, meet
-the written table of distinct words in a join, and the ids go back to their pack by position.
+the library itself.  Documents are packed, some million characters together, with their distinct words in
+the order of a hash and, for every document, the places of its words among those.  A range of hashes is a
+bucket of the table of distinct words: each pack asks each bucket for its words in one row, the bucket's
+task segments a word when it first meets it, and the ids go back to the pack and, by position, to texts.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ class Codec:
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         norm.add_dummy_prefix = False  # a marked word brings its own marker
         self.chunks = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.bos, self.eos = (np.array([x], dtype="<u4").tobytes() for x in (self.whole.bos_id(), self.whole.eos_id()))
+        self.kind = "<u2" if len(spec.pieces) <= 1 << 16 else "<u4"
+        self.bos, self.eos = (np.array([x], dtype=self.kind).tobytes() for x in (self.whole.bos_id(), self.whole.eos_id()))
 
     def split(self, text: str) -> list[str]:
         """The marked words of a text, in order."""
@@ -54,31 +56,47 @@ class Codec:
         return self.find(MARK + marked if marked and self.prefix else marked)
 
     def segment(self, word: str) -> bytes:
-        """Ids of one marked word, little-endian unsigned 32-bit."""
-        return np.array(self.chunks.encode(word), dtype="<u4").tobytes()
+        """Ids of one marked word, little-endian numbers of ``kind``."""
+        return np.array(self.chunks.encode(word), dtype=self.kind).tobytes()
+
+    def wide(self, ids: bytes) -> bytes:
+        """The same ids as little-endian unsigned 32-bit numbers."""
+        return np.frombuffer(ids, dtype=self.kind).astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         return self.whole.decode(np.frombuffer(ids, dtype="<u4").tolist())
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> DataFrame:
-    """(part, words, body): documents of one task together, up to ``pack_chars`` characters or one longer text.
+    """(part, n, words, body): documents of one task together, up to ``pack_chars`` characters or one longer text.
 
-    ``words`` are the pack's distinct marked words; ``body`` is a compressed Arrow batch of the columns
-    ``keep`` and, as ``__at``, every document's word places.
+    ``words`` are the pack's ``n`` distinct marked words by ascending hash, joined by spaces (they hold none);
+    ``body`` is a compressed Arrow batch of the columns ``keep`` and, as ``__at``, every document's word places.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part = Codec(model), TaskContext.get().partitionId() << 32
         index: dict[str, int] = {}
         held, at, size = [], [], 0
 
         def emit() -> pa.RecordBatch:
+            words = list(index)
+            order = np.argsort(_hashes(words), kind="stable")
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words), dtype=np.int32)
             sink = pa.BufferOutputStream()
-            rows = pa.Table.from_batches(held).append_column("__at", pa.chunked_array([pa.array(at, pa.list_(pa.int32()))])).combine_chunks()
+            places = pa.chunked_array([pa.array([place[x] for x in at], pa.list_(pa.int32()))])
+            rows = pa.Table.from_batches(held).append_column("__at", places).combine_chunks()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows)
-            cols = [pa.array([part], pa.int64()), pa.array([list(index)], pa.list_(pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "words", "body"])
+            cols = [pa.array([part], pa.int64()), pa.array([len(words)], pa.int32()), pa.array([" ".join([words[k] for k in order])], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "n", "words", "body"])
 
         for batch in batches:
             texts, kept, first = batch.column("__text"), batch.select(keep), 0
@@ -96,21 +114,53 @@ def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> D
         if at:
             yield emit()
 
-    return docs.mapInArrow(run, "part long, words array<string>, body binary")
+    return docs.mapInArrow(run, "part long, n int, words string, body binary")
 
 
-def _table(words: DataFrame, model: bytes) -> DataFrame:
-    """(word, word_ids): every distinct marked word, segmented once."""
+def _requests(packs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, part, first, words): a pack's words of one range of hashes, from its word ``first`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([codec.segment(w.as_py()) for w in batch.column("word")], pa.binary())], names=["word", "word_ids"])
+            for part, joined in zip(batch.column("part"), batch.column("words")):
+                words = joined.as_py().split(" ")
+                bucket = ((_hashes(words) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(words)]))
+                cols = [pa.array(bucket[edges[:-1]]), pa.array(np.full(len(edges) - 1, part.as_py())), pa.array(edges[:-1].astype(np.int32))]
+                texts = pa.array([" ".join(words[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, texts], names=["bucket", "part", "first", "words"])
 
-    return words.distinct().mapInArrow(run, "word string, word_ids binary")
+    return packs.where("n > 0").select("part", "words").mapInArrow(run, "bucket long, part long, first int, words string")
 
 
-def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_ids: bool = True, pack_chars: int = 1 << 21) -> DataFrame:
+def _answers(requests: DataFrame, model: bytes) -> DataFrame:
+    """(part, first, sizes, ids): for every request, in order, how many bytes of ids each word has, and those.
+
+    A bucket's requests stand together, so a word is segmented when the first of them names it, and never again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, current, table = Codec(model), None, {}
+        for batch in batches:
+            sizes, ids = [], []
+            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words")):
+                if bucket != current:
+                    current, table = bucket, {}
+                words = words.as_py().split(" ")
+                for w in words:
+                    if w not in table:
+                        table[w] = codec.segment(w)
+                own = [table[w] for w in words]
+                sizes.append(np.fromiter(map(len, own), "<u4", len(own)).tobytes())
+                ids.append(b"".join(own))
+            cols = [batch.column("part"), batch.column("first"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "first", "sizes", "ids"])
+
+    together = requests.repartition("bucket").sortWithinPartitions("bucket", "part", "first")
+    return together.mapInArrow(run, "part long, first int, sizes binary, ids binary")
+
+
+def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_ids: bool = True, pack_chars: int = 1 << 21, bucket_words: int = 250_000) -> DataFrame:
     """``docs`` without its text, plus ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and (unless told
     otherwise) ``ids array<int>`` and ``decoded``.
 
@@ -119,9 +169,10 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
     are no ties; an empty table gives an empty result.  Input columns named like an output column are
     replaced; others, null or not, go through unchanged.
 
-    The words shuffled are those of each pack (``pack_chars`` characters), not every occurrence.  A word
-    that stands in all packs has one row a pack, and is joined to a written table, so that adaptive execution
-    can split it.  Packs and table are written, so a lost executor costs its own tasks.
+    What is shuffled are the words of each pack (``pack_chars`` characters), not every occurrence.  A pack asks
+    a bucket at most once, and buckets are even ranges of a hash, so that a word of every document is one row
+    entry a pack and no task gets more than its share.  A bucket's table holds some ``bucket_words`` words.
+    Packs are written, so a lost executor costs its own tasks.
     """
     model = model if isinstance(model, bytes) else open(model, "rb").read()
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -134,13 +185,14 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
         for batch in batches:
             for body, found in zip(batch.column("body"), batch.column("found")):
                 rows = pa.ipc.open_stream(body.as_buffer()).read_all().combine_chunks().to_batches()[0]
-                table = [b""] * (0 if found.values is None else len(found.values))
-                if table:
-                    for k, ids in zip(found.values.field("at").to_pylist(), found.values.field("word_ids").to_pylist()):
-                        table[k] = ids
+                table: dict[int, bytes] = {}
+                for x in found.as_py() or ():
+                    sizes = np.frombuffer(x["sizes"], "<u4")
+                    ends = np.cumsum(sizes).tolist()
+                    table.update(zip(range(x["first"], x["first"] + len(ends)), (x["ids"][a:b] for a, b in zip([0, *ends], ends))))
                 for start in range(0, rows.num_rows, 256):  # what is held at once stays small beside the pack
                     part = rows.slice(start, 256)
-                    ids = [b"".join((codec.bos, *map(table.__getitem__, at), codec.eos)) for at in part.column("__at").to_pylist()]
+                    ids = [codec.wide(b"".join((codec.bos, *map(table.__getitem__, at), codec.eos))) for at in part.column("__at").to_pylist()]
                     back = [codec.decode(x) for x in ids]
                     made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(x.encode()) for x in back], pa.string())]
                     if with_ids:
@@ -149,8 +201,9 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
 
     rows = docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias("__text"))
     packs = materialize(_packs(rows, [f.name for f in keep], model, pack_chars), "packs")
-    wanted = packs.select("part", F.posexplode("words").alias("at", "word"))
-    table = materialize(_table(wanted.select("word"), model), "marked-words")
-    # merge joins at every size: arrays of strings are larger than Parquet says
-    found = wanted.join(table.hint("merge"), "word").groupBy("part").agg(F.collect_list(F.struct("at", "word_ids")).alias("found"))
+    words = packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(-(-words // bucket_words), 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    answers = _answers(_requests(packs, buckets), model)
+    found = answers.groupBy("part").agg(F.collect_list(F.struct("first", "sizes", "ids")).alias("found"))
+    # a merge join at every size: packed bytes are larger than Parquet says
     return packs.select("part", "body").join(found.hint("merge"), "part", "left").select("body", "found").mapInArrow(run, schema)

@@ -65,17 +65,22 @@ def test_sentencepiece_round_trip(spark):
     assert sorted((r.t or "", r.ids) for r in small) == sorted((r.t or "", r.ids) for r in rows)
 
 
-def test_each_distinct_word_is_segmented_once(spark, monkeypatch):
-    """The table holds every marked word once, however many packs and documents it stands in."""
-    path, made, plain = public_tokenizers.path("piece_bpe_32k.model"), [], spm.materialize
-    monkeypatch.setattr(spm, "materialize", lambda df, name: made.append((name, plain(df, name))) or made[-1][1])
-    docs = documents(spark)
-    spm.encode_decode(docs, path, pack_chars=300).count()
-    table, packs = dict(made)["marked-words"], dict(made)["packs"]
-    codec = spm.Codec(path)
+def test_each_distinct_word_is_segmented_once(spark):
+    """A word has one bucket, whose task segments it once, however many packs and documents it stands in."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs, codec = documents(spark), spm.Codec(path)
+    packs = spm._packs(docs.select("doc_id", F.col("text").alias("__text")), ["doc_id"], open(path, "rb").read(), 300)
+    rows = spm._requests(packs, 50).collect()
+    asked = [(w, r.bucket) for r in rows for w in r.words.split(" ")]
     want = {w for r in docs.collect() for w in codec.split(r.text or "")}
-    got = [r.word for r in table.collect()]
-    assert len(got) == len(want) and set(got) == want and packs.count() > 8
+    assert {w for w, _ in asked} == want and len(set(asked)) == len(want) < len(asked) and len({b for _, b in asked}) > 40
+    assert len({(r.bucket, r.part) for r in rows}) == len(rows)
+    parts = {}
+    for r in spm._answers(spm._requests(packs, 50), open(path, "rb").read()).collect():
+        parts[r.part, r.first] = (np.frombuffer(r.sizes, "<u4"), bytes(r.ids))
+    for r in rows:
+        made = [codec.segment(w) for w in r.words.split(" ")]
+        assert (parts[r.part, r.first][0].tolist(), parts[r.part, r.first][1]) == ([len(x) for x in made], b"".join(made))
 
 
 def test_language_edges(spark):
