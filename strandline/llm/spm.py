@@ -67,6 +67,23 @@ class Codec:
         return self.whole.decode(np.frombuffer(ids, dtype="<u4").tolist())
 
 
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _joined(words: list[str]) -> bytes:
+    """Marked words, compressed; the usual single marker in front is left out, and any other word has one more."""
+    return _squeeze(" ".join([w[1:] if len(w) > 1 and w[0] == MARK != w[1] else MARK + w for w in words]).encode())
+
+
+def _parted(data: bytes) -> list[str]:
+    return [w[1:] if w[0] == MARK else MARK + w for w in _expand(data).decode().split(" ")]
+
+
 def _hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
@@ -74,10 +91,12 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> DataFrame:
-    """(part, n, words, body): documents of one task together, up to ``pack_chars`` characters or one longer text.
+    """(part, n, words, place, body): documents of one task together, up to ``pack_chars`` characters or one longer text.
 
     ``words`` are the pack's ``n`` distinct marked words by ascending hash, joined by spaces (they hold none);
-    ``body`` is a compressed Arrow batch of the columns ``keep`` and, as ``__at``, every document's word places.
+    ``body`` is a compressed Arrow batch of the columns ``keep`` and every document's words, as ranks by how
+    often the pack has them (in two parts, low byte and rest, which compress better); ``place`` leads from a
+    rank to a word's place among ``words``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +107,21 @@ def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> D
         def emit() -> pa.RecordBatch:
             words = list(index)
             order = np.argsort(_hashes(words), kind="stable")
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words), dtype=np.int32)
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            by_count = np.argsort(-np.bincount(np.concatenate([np.empty(0, np.int32), *at]), minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[by_count] = np.arange(len(words), dtype=np.uint32)
+            high = np.uint16 if len(words) <= 1 << 24 else np.uint32
+            low = pa.array([rank[x].astype(np.uint8) for x in at], pa.list_(pa.uint8()))
+            rest = pa.array([(rank[x] >> np.uint32(8)).astype(high) for x in at], pa.list_(pa.from_numpy_dtype(high)))
             sink = pa.BufferOutputStream()
-            places = pa.chunked_array([pa.array([place[x] for x in at], pa.list_(pa.int32()))])
-            rows = pa.Table.from_batches(held).append_column("__at", places).combine_chunks()
+            rows = pa.Table.from_batches(held).append_column("__low", low).append_column("__rest", rest).combine_chunks()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows)
-            cols = [pa.array([part], pa.int64()), pa.array([len(words)], pa.int32()), pa.array([" ".join([words[k] for k in order])], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "n", "words", "body"])
+            blobs = [_joined([words[k] for k in order]), _squeeze(place[by_count].tobytes()), sink.getvalue().to_pybytes()]
+            cols = [pa.array([part], pa.int64()), pa.array([len(words)], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "n", "words", "place", "body"])
 
         for batch in batches:
             texts, kept, first = batch.column("__text"), batch.select(keep), 0
@@ -114,7 +139,15 @@ def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> D
         if at:
             yield emit()
 
-    return docs.mapInArrow(run, "part long, n int, words string, body binary")
+    return docs.mapInArrow(run, "part long, n int, words binary, place binary, body binary")
+
+
+def _lists(rows: pa.RecordBatch) -> Iterator[list[int]]:
+    """Every document's words as ranks."""
+    ends = np.cumsum(rows.column("__low").value_lengths().to_numpy(zero_copy_only=False))
+    low, rest = (rows.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("__low", "__rest"))
+    ranks = (low + (rest << 8)).tolist()
+    return (ranks[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))
 
 
 def _requests(packs: DataFrame, buckets: int) -> DataFrame:
@@ -123,18 +156,18 @@ def _requests(packs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, joined in zip(batch.column("part"), batch.column("words")):
-                words = joined.as_py().split(" ")
+                words = _parted(joined.as_py())
                 bucket = ((_hashes(words) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(words)]))
                 cols = [pa.array(bucket[edges[:-1]]), pa.array(np.full(len(edges) - 1, part.as_py())), pa.array(edges[:-1].astype(np.int32))]
-                texts = pa.array([" ".join(words[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.string())
+                texts = pa.array([_joined(words[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*cols, texts], names=["bucket", "part", "first", "words"])
 
-    return packs.where("n > 0").select("part", "words").mapInArrow(run, "bucket long, part long, first int, words string")
+    return packs.where("n > 0").select("part", "words").mapInArrow(run, "bucket long, part long, first int, words binary")
 
 
 def _answers(requests: DataFrame, model: bytes) -> DataFrame:
-    """(part, first, sizes, ids): for every request, in order, how many bytes of ids each word has, and those.
+    """(part, first, n, ids): for every request of ``n`` words, how many bytes of ids each has, and those, compressed.
 
     A bucket's requests stand together, so a word is segmented when the first of them names it, and never again.
     """
@@ -142,25 +175,25 @@ def _answers(requests: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, current, table = Codec(model), None, {}
         for batch in batches:
-            sizes, ids = [], []
+            n, ids = [], []
             for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words")):
                 if bucket != current:
                     current, table = bucket, {}
-                words = words.as_py().split(" ")
+                words = _parted(words.as_py())
                 for w in words:
                     if w not in table:
                         table[w] = codec.segment(w)
                 own = [table[w] for w in words]
-                sizes.append(np.fromiter(map(len, own), "<u4", len(own)).tobytes())
-                ids.append(b"".join(own))
-            cols = [batch.column("part"), batch.column("first"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["part", "first", "sizes", "ids"])
+                n.append(len(own))
+                ids.append(_squeeze(np.fromiter(map(len, own), "<u4", len(own)).tobytes() + b"".join(own)))
+            cols = [batch.column("part"), batch.column("first"), pa.array(n, pa.int32()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "first", "n", "ids"])
 
     together = requests.repartition("bucket").sortWithinPartitions("bucket", "part", "first")
-    return together.mapInArrow(run, "part long, first int, sizes binary, ids binary")
+    return together.mapInArrow(run, "part long, first int, n int, ids binary")
 
 
-def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_ids: bool = True, pack_chars: int = 1 << 21, bucket_words: int = 250_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_ids: bool = True, pack_chars: int = 1 << 23, bucket_words: int = 250_000) -> DataFrame:
     """``docs`` without its text, plus ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and (unless told
     otherwise) ``ids array<int>`` and ``decoded``.
 
@@ -183,16 +216,17 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = Codec(model), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for body, found in zip(batch.column("body"), batch.column("found")):
+            for place, body, found in zip(batch.column("place"), batch.column("body"), batch.column("found")):
                 rows = pa.ipc.open_stream(body.as_buffer()).read_all().combine_chunks().to_batches()[0]
-                table: dict[int, bytes] = {}
+                place, table = np.frombuffer(_expand(place.as_py()), np.uint32), {}
                 for x in found.as_py() or ():
-                    sizes = np.frombuffer(x["sizes"], "<u4")
-                    ends = np.cumsum(sizes).tolist()
-                    table.update(zip(range(x["first"], x["first"] + len(ends)), (x["ids"][a:b] for a, b in zip([0, *ends], ends))))
+                    ids = _expand(x["ids"])
+                    ends = np.cumsum(np.frombuffer(ids, "<u4", x["n"]), dtype=np.int64) + 4 * x["n"]
+                    table.update(zip(range(x["first"], x["first"] + x["n"]), (ids[a:b] for a, b in zip([4 * x["n"], *ends.tolist()], ends.tolist()))))
+                table = [table[k] for k in place.tolist()]  # by rank
                 for start in range(0, rows.num_rows, 256):  # what is held at once stays small beside the pack
                     part = rows.slice(start, 256)
-                    ids = [codec.wide(b"".join((codec.bos, *map(table.__getitem__, at), codec.eos))) for at in part.column("__at").to_pylist()]
+                    ids = [codec.wide(b"".join((codec.bos, *map(table.__getitem__, at), codec.eos))) for at in _lists(part)]
                     back = [codec.decode(x) for x in ids]
                     made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(x.encode()) for x in back], pa.string())]
                     if with_ids:
@@ -204,6 +238,6 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
     words = packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(-(-words // bucket_words), 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     answers = _answers(_requests(packs, buckets), model)
-    found = answers.groupBy("part").agg(F.collect_list(F.struct("first", "sizes", "ids")).alias("found"))
+    found = answers.groupBy("part").agg(F.collect_list(F.struct("first", "n", "ids")).alias("found"))
     # a merge join at every size: packed bytes are larger than Parquet says
-    return packs.select("part", "body").join(found.hint("merge"), "part", "left").select("body", "found").mapInArrow(run, schema)
+    return packs.select("part", "place", "body").join(found.hint("merge"), "part", "left").select("place", "body", "found").mapInArrow(run, schema)
