@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.plans.shared import materialize
+from strandline.llm import blobs
+from strandline.plans.shared import fresh_path, materialize
 
 MARK = "▁"
 
@@ -90,19 +91,21 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> DataFrame:
-    """(part, n, words, place, body): documents of one task together, up to ``pack_chars`` characters or one longer text.
+def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int, folder: str) -> DataFrame:
+    """(part, n, words, path, start, size): documents of one task together, up to ``pack_chars`` characters or one longer text.
 
     ``words`` are the pack's ``n`` distinct marked words by ascending hash, joined by spaces (they hold none);
-    ``body`` is a compressed Arrow batch of the columns ``keep`` and every document's words, as ranks by how
-    often the pack has them (in two parts, low byte and rest, which compress better); ``place`` leads from a
-    rank to a word's place among ``words``.
+    what else a pack holds goes to a file under ``folder``, so that it is never shuffled: a compressed Arrow
+    batch of the columns ``keep`` and every document's words, as ranks by how often the pack has them (in two
+    parts, low byte and rest, which compress better), and what leads from a rank to a place among ``words``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part = Codec(model), TaskContext.get().partitionId() << 32
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64())
+        schema = pa.schema(list(zip(("part", "n", "words", "path", "start", "size"), kinds)))
         index: dict[str, int] = {}
-        held, at, size = [], [], 0
+        held, at, size, file = [], [], 0, blobs.Writer(folder)
 
         def emit() -> pa.RecordBatch:
             words = list(index)
@@ -119,9 +122,11 @@ def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> D
             rows = pa.Table.from_batches(held).append_column("__low", low).append_column("__rest", rest).combine_chunks()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows)
-            blobs = [_joined([words[k] for k in order]), _squeeze(place[by_count].tobytes()), sink.getvalue().to_pybytes()]
-            cols = [pa.array([part], pa.int64()), pa.array([len(words)], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "n", "words", "place", "body"])
+            place = _squeeze(place[by_count].tobytes())
+            blob = len(place).to_bytes(8, "little") + place + sink.getvalue().to_pybytes()
+            start = file.append(blob)
+            values = [part, len(words), _joined([words[k] for k in order]), file.path, start, len(blob)]
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, values))], schema=schema)
 
         for batch in batches:
             texts, kept, first = batch.column("__text"), batch.select(keep), 0
@@ -136,10 +141,11 @@ def _packs(docs: DataFrame, keep: list[str], model: bytes, pack_chars: int) -> D
                     index.clear()
             if first < len(texts):
                 held.append(kept.slice(first))
-        if at:
-            yield emit()
+        last = [emit()] if at else []
+        file.close()  # before the row that names its last part
+        yield from last
 
-    return docs.mapInArrow(run, "part long, n int, words binary, place binary, body binary")
+    return docs.mapInArrow(run, "part long, n int, words binary, path string, start long, size long")
 
 
 def _lists(rows: pa.RecordBatch) -> Iterator[list[int]]:
@@ -193,7 +199,7 @@ def _answers(requests: DataFrame, model: bytes) -> DataFrame:
     return together.mapInArrow(run, "part long, first int, n int, ids binary")
 
 
-def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_ids: bool = True, pack_chars: int = 1 << 23, bucket_words: int = 250_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_ids: bool = True, pack_chars: int = 1 << 24, bucket_words: int = 250_000) -> DataFrame:
     """``docs`` without its text, plus ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and (unless told
     otherwise) ``ids array<int>`` and ``decoded``.
 
@@ -205,7 +211,7 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
     What is shuffled are the words of each pack (``pack_chars`` characters), not every occurrence.  A pack asks
     a bucket at most once, and buckets are even ranges of a hash, so that a word of every document is one row
     entry a pack and no task gets more than its share.  A bucket's table holds some ``bucket_words`` words.
-    Packs are written, so a lost executor costs its own tasks.
+    Packs are written to files of the shared folder (see ``blobs``), so a lost executor costs its own tasks.
     """
     model = model if isinstance(model, bytes) else open(model, "rb").read()
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -216,9 +222,11 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = Codec(model), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for place, body, found in zip(batch.column("place"), batch.column("body"), batch.column("found")):
-                rows = pa.ipc.open_stream(body.as_buffer()).read_all().combine_chunks().to_batches()[0]
-                place, table = np.frombuffer(_expand(place.as_py()), np.uint32), {}
+            for path, start, size, found in zip(*(batch.column(c) for c in ("path", "start", "size", "found"))):
+                blob = blobs.read(path.as_py(), start.as_py(), size.as_py())
+                end = 8 + int.from_bytes(blob[:8], "little")
+                rows = pa.ipc.open_stream(pa.py_buffer(blob).slice(end)).read_all().combine_chunks().to_batches()[0]
+                place, table = np.frombuffer(_expand(blob[8:end]), np.uint32), {}
                 for x in found.as_py() or ():
                     ids = _expand(x["ids"])
                     ends = np.cumsum(np.frombuffer(ids, "<u4", x["n"]), dtype=np.int64) + 4 * x["n"]
@@ -234,10 +242,10 @@ def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", with_
                     yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), *made], names=schema.names)
 
     rows = docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias("__text"))
-    packs = materialize(_packs(rows, [f.name for f in keep], model, pack_chars), "packs")
+    packs = materialize(_packs(rows, [f.name for f in keep], model, pack_chars, fresh_path(rows.sparkSession, "pack-files")), "packs")
     words = packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(-(-words // bucket_words), 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     answers = _answers(_requests(packs, buckets), model)
     found = answers.groupBy("part").agg(F.collect_list(F.struct("first", "n", "ids")).alias("found"))
     # a merge join at every size: packed bytes are larger than Parquet says
-    return packs.select("part", "place", "body").join(found.hint("merge"), "part", "left").select("place", "body", "found").mapInArrow(run, schema)
+    return packs.select("part", "path", "start", "size").join(found.hint("merge"), "part", "left").select("path", "start", "size", "found").mapInArrow(run, schema)

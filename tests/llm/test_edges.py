@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from strandline.llm import chat, langid, quality, simhash, spm, substrings, tokencount, topk
+from strandline.plans.shared import fresh_path
 from tests.llm.cases import SCHEMA, documents
 from tests.llm.test_queries import WORD, plain_components, plain_fingerprint, plain_removal
 
@@ -69,7 +70,7 @@ def test_each_distinct_word_is_segmented_once(spark):
     """A word has one bucket, whose task segments it once, however many packs and documents it stands in."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs, codec = documents(spark), spm.Codec(path)
-    packs = spm._packs(docs.select("doc_id", F.col("text").alias("__text")), ["doc_id"], open(path, "rb").read(), 300)
+    packs = spm._packs(docs.select("doc_id", F.col("text").alias("__text")), ["doc_id"], open(path, "rb").read(), 300, fresh_path(spark, "packs"))
     rows = spm._requests(packs, 50).collect()
     asked = [(w, r.bucket) for r in rows for w in spm._parted(bytes(r.words))]
     want = {w for r in docs.collect() for w in codec.split(r.text or "")}
