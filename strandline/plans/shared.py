@@ -28,8 +28,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; what is written there is deleted when the driver's JVM ends."""
     own = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
     if own not in _folders:
+        make_folder(spark, own)
         where, fs = _hadoop(spark, own)
-        fs.mkdirs(where)
         fs.deleteOnExit(where)
         _folders.add(own)
     return f"{own}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +40,11 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    where, fs = _hadoop(spark, path)
+    fs.mkdirs(where)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
