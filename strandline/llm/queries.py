@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 from strandline.llm import chat, langid, mixing, oracles, simhash, spm, substrings, tokencount, topk, toxicity
 from strandline.llm.quality import quality
 from strandline.llm.text import GAP, SPACES
-from strandline.plans.shared import materialize, table
+from strandline.plans.shared import fresh_path, make_folder, materialize, table
 
 #: The end-of-document id of byte_bpe_50k.
 SEPARATOR = 50256
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, counted between separators of flat streams written from the whole table."""
-    docs = table(spark, sf_dir, "documents")
-    blocks = tokencount.write_stream_blocks(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), SEPARATOR)
-    found = tokencount.separator_scan(materialize(blocks, "streams"), SEPARATOR)
-    return found.where("closed").select(F.col("id").alias("doc_id"), "stream", "doc_no", "start", "n_tokens")
+    """Tokens of every document, counted between separators of flat files written from the whole table."""
+    folder = fresh_path(spark, "flat-files")
+    named = tokencount.write_flat_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), SEPARATOR, folder)
+    named = materialize(named, "flat-names")
+    make_folder(spark, folder)  # an empty table writes no file
+    found = tokencount.separator_scan(tokencount.read_flat_files(spark, folder), SEPARATOR)
+    out = found.where("closed").join(named.hint("merge"), ["stream", "doc_no"])
+    return out.select(F.col("id").alias("doc_id"), "stream", "doc_no", "start", "n_tokens")
 
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

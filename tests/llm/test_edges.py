@@ -6,10 +6,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import chat, langid, quality, simhash, spm, substrings, tokencount, topk
-from strandline.plans.shared import fresh_path
+from strandline.plans.shared import fresh_path, materialize
 from tests.llm.cases import SCHEMA, documents
 from tests.llm.test_queries import WORD, plain_components, plain_fingerprint, plain_removal
 
@@ -27,27 +28,42 @@ def test_separator_scan_stitches_blocks(spark):
             flat = [5] * 40
             want.add((stream, 0, 0, 40, False))
         for block in range(0, max(1, len(flat)), 16):
-            rows.append((stream, block // 16, bytearray(np.array(flat[block : block + 16], "<u2").tobytes()), None))
+            rows.append((stream, block // 16, bytearray(np.array(flat[block : block + 16], "<u2").tobytes())))
     blocks = spark.createDataFrame(rows, tokencount.BLOCKS)
-    got = tokencount.separator_scan(blocks, 100, group=4).drop("id").collect()
+    got = tokencount.separator_scan(blocks, 100, group=4).collect()
     assert {tuple(r) for r in got} == want
     assert tokencount.separator_scan(blocks.limit(0), 100).count() == 0
 
 
 def test_flat_files(spark, tmp_path):
+    """Files in several splits, whose blocks different tasks read."""
+    rnd = np.random.default_rng(1)
+    want = {("a.bin", 0, 0, 2, True), ("a.bin", 1, 3, 1, True), ("a.bin", 2, 5, 0, True), ("a.bin", 3, 6, 1, False)}
     (tmp_path / "a.bin").write_bytes(np.array([1, 2, 9, 3, 9, 9, 4], "<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = tokencount.separator_scan(tokencount.read_flat_files(spark, f"file://{tmp_path}", block_tokens=3), 9).collect()
-    assert sorted((r.doc_no, r.n_tokens, r.closed) for r in got) == [(0, 2, True), (1, 1, True), (2, 0, True), (3, 1, False)]
-
-
-def test_stream_blocks_keep_ids(spark):
+    long = np.where(rnd.random(5000) < 0.01, 9, 1000)
+    (tmp_path / "c.bin").write_bytes(long.astype("<u2").tobytes())
+    at = 0
+    for k, end in enumerate([*np.flatnonzero(long == 9).tolist(), len(long)]):
+        want.add(("c.bin", k, at, end - at, end < len(long)))
+        at = end + 1
+    blocks = tokencount.read_flat_files(spark, f"file://{tmp_path}", block_tokens=3)
+    assert blocks.where("stream = 'c.bin'").select(F.spark_partition_id()).distinct().count() > 4
+    got = tokencount.separator_scan(blocks.withColumn("size", F.lit("clash")), 9, group=10).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_flat_files_keep_ids(spark):
     docs = documents(spark)
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path, folder = public_tokenizers.path("byte_bpe_50k.tiktoken"), fresh_path(spark, "flat")
     encode = tokencount.bpe_encoder(path)
-    got = tokencount.separator_scan(tokencount.write_stream_blocks(docs, path, 50256, block_tokens=64), 50256, group=3)
+    named = materialize(tokencount.write_flat_files(docs, path, 50256, folder), "names")
+    got = tokencount.separator_scan(tokencount.read_flat_files(spark, folder, block_tokens=64), 50256, group=3).where("closed").join(named, ["stream", "doc_no"])
     want = sorted((str(r.doc_id), len(encode(r.text or ""))) for r in docs.collect())
     assert sorted((str(r.id), r.n_tokens) for r in got.collect()) == want
+    with pytest.raises(Exception, match="does not fit"):
+        tokencount.write_flat_files(docs, path, 70000, folder).count()
+    assert tokencount.write_flat_files(docs.limit(0), path, 50256, folder).count() == 0
 
 
 def test_sentencepiece_round_trip(spark):
