@@ -3,14 +3,16 @@
 A source's documents, in hashed order, are one stream of words, cut into blocks of equal size.  Its quota
 is a whole number of blocks: full passes over the stream, plus the blocks that a permutation puts first.
 A binary tree splits the vector of quotas among the output shards: each node hands half of its blocks
-left, drawn without replacement, so that every shard's quotas are exact and sum to the sources'.  Shards
-then own disjoint ranges of the permuted blocks, and order what they own by a hash.
+left, drawn without replacement, so that every shard's quotas are exact and sum to the sources'.  A shard
+takes the blocks that its quotas reach, which no other takes, and shuffles them by an order of its own; what
+no shard's quota reaches is not taken.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm.text import SPACES, words
 from strandline.plans.shared import let, materialize
@@ -118,40 +120,67 @@ def targets(sizes: DataFrame, block_words: int, least_blocks: int = 200) -> Data
     return rows.select("source", "rank", "source_size", "weight", "target", "block", "n_blocks", "passes", "extra", "quota")
 
 
-def shard_quotas(plan: DataFrame, levels: int, seed: int) -> DataFrame:
-    """(rank, upto): for every source, up to which of its draws each of the 2**levels shards owns them."""
-    node = plan.agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("s")).select(F.lit(0).cast("long").alias("node"), F.transform("s", lambda x: x["quota"]).alias("q"))
-    for level in range(levels):
+def _half(numbers: Column, need: Column, key: Column) -> Column:
+    """How many of each of ``numbers`` go left when ``need`` of their sum do, drawn without replacement."""
+
+    def split(state: Column, x: Column) -> Column:
+        rest = state["rest"] - x["n"]
+        drawn = hypergeometric(x["n"], rest, state["need"], F.xxhash64(key, x["i"]))
+        return let(drawn, lambda d: F.struct(rest.alias("rest"), (state["need"] - d).alias("need"), F.concat(state["left"], F.array(d)).alias("left")))
+
+    start = F.struct(_sum(numbers).alias("rest"), need.alias("need"), F.array().cast("array<long>").alias("left"))
+    return F.aggregate(F.transform(numbers, lambda x, i: F.struct(x.alias("n"), i.alias("i"))), start, split, lambda s: s["left"])
+
 
-        def split(state: Column, x: Column) -> Column:
-            rest = state["rest"] - x["q"]
-            drawn = hypergeometric(x["q"], rest, state["need"], F.xxhash64(F.lit(seed), F.col("level"), F.col("node"), x["i"]))
-            return let(drawn, lambda d: F.struct(rest.alias("rest"), (state["need"] - d).alias("need"), F.concat(state["left"], F.array(d)).alias("left")))
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
-        zero = F.struct(F.col("t").alias("rest"), F.floor(F.col("t") / 2).cast("long").alias("need"), F.array().cast("array<long>").alias("left"))
-        each = F.transform("q", lambda x, i: F.struct(x.alias("q"), i.alias("i")))
-        node = node.withColumns({"t": total, "level": F.lit(level)}).withColumn("left", F.aggregate(each, zero, split, lambda s: s["left"]))
+
+def shard_quotas(plan: DataFrame, levels: int, seed: int, group: int = 1024) -> DataFrame:
+    """(rank, upto): for every source, up to which of its draws each of the 2**levels shards owns them.
+
+    A node of the tree holds its quotas in rows of ``group`` sources.  Its half is first drawn among the rows
+    and then, within each, among its sources: the same distribution as one draw over all sources, with no more
+    than ``group`` numbers at a time (and as many rows: some million sources).
+    """
+    rows = plan.select("rank", "quota", F.floor((F.col("rank") - 1) / group).alias("grp"))
+    node = rows.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("q")).withColumn("node", F.lit(0).cast("long"))
+    one_row = plan.limit(group + 1).count() <= group
+    for level in range(levels):
+        node = node.withColumn("t", _sum(F.col("q")))
+        if one_row:
+            node = node.withColumn("need", F.floor(F.col("t") / 2).cast("long"))
+        else:
+            tops = node.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("grp", "t"))).alias("s")).withColumn("n", F.transform("s", lambda x: x["t"]))
+            share = _half(F.col("n"), F.floor(_sum(F.col("n")) / 2).cast("long"), F.xxhash64(F.lit(seed), F.lit(level), F.col("node")))
+            tops = tops.select("node", F.explode(F.zip_with("s", share, lambda x, d: F.struct(x["grp"].alias("grp"), d.alias("need")))).alias("h")).select("node", "h.grp", "h.need")
+            node = node.join(tops, ["node", "grp"])
+        node = node.withColumn("left", _half(F.col("q"), F.col("need"), F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), F.col("grp"))))
         halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q")))
-        node = node.select(F.explode(halves).alias("h")).select("h.node", "h.q")
-    flat = node.select(F.col("node").alias("shard"), F.posexplode("q").alias("at", "n"))
-    flat = flat.withColumn("upto", F.sum("n").over(Window.partitionBy("at").orderBy("shard")))
-    return flat.groupBy((F.col("at") + 1).alias("rank")).agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"]).alias("upto"))
+        node = materialize(node.select("grp", F.explode(halves).alias("h")).select("grp", "h.node", "h.q"), f"tree-{level}")
+    flat = node.select("grp", F.col("node").alias("shard"), F.posexplode("q").alias("at", "n"))
+    flat = flat.withColumn("upto", F.sum("n").over(Window.partitionBy("grp", "at").orderBy("shard")))
+    return flat.groupBy((F.col("grp") * group + F.col("at") + 1).alias("rank")).agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"]).alias("upto"))
 
 
-def place(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, block_words: int = 256, buckets_log2: int = 10, shards_log2: int = 4) -> DataFrame:
-    """Every row's place in its source's stream, with the source's plan: (id, th, source, size, offset, rank, ...).
+def _key(id: str, source: str) -> Column:
+    """A hash of a row's id and source; with the text's hash it says which rows are alike."""
+    return F.xxhash64(F.col(id).cast("long"), F.col(id).isNull(), F.col(source), F.col(source).isNull())
+
+
+def place(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, block_words: int = 1024, buckets_log2: int = 10, shards_log2: int = 4) -> DataFrame:
+    """Every row's place in its source's stream, with the source's plan: (id, key, th, source, size, offset, rank, ...).
 
     Prefix sums run within ranges of the hashed order (2**buckets_log2 of them a source), then over the
     ranges, so that a source with a third of all rows is spread over that many windows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     th = F.xxhash64(body)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), th.alias("th"), F.size(words(body)).cast("long").alias("size"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), _key(id, source).alias("key"), th.alias("th"), F.size(words(body)).cast("long").alias("size"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.coalesce(F.col("id"), F.lit(-1)), F.col("th")))
     rows = materialize(rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - buckets_log2).cast("int")), "sizes")
     plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words), "targets")
-    plan = plan.join(shard_quotas(plan, shards_log2, seed), "rank")
+    plan = plan.join(shard_quotas(plan, shards_log2, seed), "rank").drop("weight", "passes", "extra")
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -174,7 +203,7 @@ def _permuted(block: Column, n_blocks: Column, passes: Column, key: Column) -> C
 
 
 def draws(placed: DataFrame, seed: int = 1) -> DataFrame:
-    """One row per drawn piece: (id, th, rank, offset, pass, draw, shard, order_key, start, length).
+    """One row per drawn piece: (id, key, th, rank, offset, pass, draw, shard, order_key, start, length).
 
     ``start`` and ``length`` count words of the row's text; ``draw`` numbers the source's drawn blocks,
     each of which one shard owns; a shard is read by ascending ``order_key``.
@@ -186,12 +215,12 @@ def draws(placed: DataFrame, seed: int = 1) -> DataFrame:
     high = F.least(F.col("offset") + F.col("size"), (F.col("b") + 1) * block)
     rows = rows.withColumns({"start": low - F.col("offset"), "length": high - low})
     at = lambda p: _permuted(F.col("b"), F.col("n_blocks"), p, F.xxhash64(F.lit(seed), F.col("rank")))
-    taken = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: F.struct(p.alias("pass"), at(p).alias("at")))
-    taken = F.filter(taken, lambda x: (x["pass"] < F.col("passes")) | (x["at"] < F.col("extra")))
-    rows = rows.withColumn("t", F.explode(taken)).withColumn("draw", F.col("t.pass") * F.col("n_blocks") + F.col("t.at"))
+    # a block is offered once a pass; it is taken by the shard whose quota of the source reaches its draw, if any does
+    offers = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(MOST - 1).cast("long")), lambda p: F.struct(p.alias("pass"), (p * F.col("n_blocks") + at(p)).alias("draw")))
+    rows = rows.withColumn("t", F.explode(F.filter(offers, lambda x: x["draw"] < F.element_at("upto", -1)))).withColumn("draw", F.col("t.draw"))
     rows = rows.withColumn("shard", F.size(F.filter("upto", lambda u: u <= F.col("draw"))))
     order = F.xxhash64(F.lit(seed), F.col("shard"), F.col("rank"), F.col("draw"))
-    return rows.select("id", "th", "rank", "offset", F.col("t.pass").alias("pass"), "draw", "shard", order.alias("order_key"), "start", "length")
+    return rows.select("id", "key", "th", "rank", "offset", F.col("t.pass").alias("pass"), "draw", "shard", order.alias("order_key"), "start", "length")
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, **sizes: int) -> tuple[DataFrame, DataFrame]:
@@ -207,21 +236,46 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     return placed, draws(placed, seed)
 
 
-def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, **sizes: int) -> DataFrame:
-    """The mix as rows of ``docs``: each pass over a row gives one row with the words that it took, in order.
+def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, placed: bool = False, **sizes: int) -> DataFrame:
+    """The mix as rows of ``docs``, shard by shard: a row for the words that a shard takes of one pass over a row.
 
-    Words keep the white space behind them.  Columns are those of ``docs``.
+    Words keep the white space behind them and their order.  Rows lie in runs of one shard, shuffled by the
+    shard's own order; a shard is spread over as many tasks as its size asks for.  Columns are those of
+    ``docs``; with ``placed``, also ``shard`` and ``order_key`` (which replace columns so named), by which a
+    shard is read.  Rows alike in id, source and text share what is drawn of them, numbered in one task.
     """
     _, drawn = mix(docs, id, text, source, seed, **sizes)
-    spans = drawn.groupBy("id", "th", "offset", "pass").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
-    spans = spans.groupBy("id", "th", "offset").agg(F.collect_list("spans").alias("__takes"))
-    twin = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    spans = spans.withColumn("__twin", twin(("id", "th"), "offset")).drop("offset")
-    rows = docs.withColumns({"__id": F.col(id).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    rows = rows.withColumn("__twin", twin(("__id", "__th"), F.lit(0)))
-    rows = rows.join(spans, rows["__id"].eqNullSafe(spans["id"]) & (rows["__th"] == spans["th"]) & (rows["__twin"] == spans["__twin"])).select(*[rows[c] for c in docs.columns], "__takes")
-    rows = rows.withColumn("__take", F.explode("__takes")).drop("__takes")
+    takes = drawn.groupBy("key", "th", "offset", "pass", "shard").agg(F.min("order_key").alias("order_key"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    takes = takes.groupBy("key", "th", "offset").agg(F.collect_list(F.struct("pass", "shard", "order_key", "spans")).alias("takes"))
+    takes = takes.groupBy("key", "th").agg(F.transform(F.sort_array(F.collect_list(F.struct("offset", "takes"))), lambda x: x["takes"]).alias("__takes"))
+    inner = docs.columns
+    rows = docs.withColumns({"__key": _key(id, source), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).where(F.length(F.btrim(F.col(text), F.lit(SPACES))) > 0)
+    takes = takes.withColumnsRenamed({"key": "__key", "th": "__th"})
+    rows = rows.join(takes.hint("merge"), ["__key", "__th"])
+    # rows alike take their turns in the order of a hash of the whole row; behind the join, this needs no shuffle of its own
+    whole_row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not _has_map(f.dataType)])
+    rows = rows.withColumn("__twin", F.row_number().over(Window.partitionBy("__key", "__th").orderBy(whole_row)))
+    rows = rows.withColumn("__takes", F.get("__takes", F.col("__twin") - 1)).where("__takes is not null")
     own = F.regexp_extract_all(F.ltrim(F.col(text), F.lit(SPACES)), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = let(own, lambda w: F.array_join(F.flatten(F.transform("__take", lambda s: F.slice(w, s["start"].cast("int") + 1, s["length"].cast("int")))), ""))
-    whole = (F.size("__take") > 0) & (F.aggregate("__take", F.lit(0).cast("long"), lambda a, s: a + s["length"]) == F.size(words(F.col(text))))
-    return rows.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*docs.columns)
+    total = lambda t: F.aggregate(t["spans"], F.lit(0).cast("long"), lambda a, s: a + s["length"])
+
+    def cut(w: Column) -> Column:
+        pieces = lambda t: F.flatten(F.transform(t["spans"], lambda s: F.slice(w, s["start"].cast("int") + 1, s["length"].cast("int"))))
+        part = lambda t: F.when(total(t) == F.size(w), F.col(text)).otherwise(F.array_join(pieces(t), ""))
+        return F.transform("__takes", lambda t: F.struct(t["shard"].alias("shard"), t["order_key"].alias("order_key"), t["pass"].alias("pass"), part(t).alias("text")))
+
+    rows = rows.withColumn("__take", F.explode(let(own, cut))).drop("__takes")
+    rows = rows.withColumns({text: F.col("__take.text"), "__shard": F.col("__take.shard"), "__order": F.col("__take.order_key"), "__pass": F.col("__take.pass")}).drop("__take")
+    rows = rows.repartition("__shard", F.shiftrightunsigned("__order", 48)).sortWithinPartitions("__shard", "__order", "__key", "__th", "__twin", "__pass")
+    if not placed:
+        return rows.select(*[f"`{c}`" for c in inner])
+    return rows.select(*[f"`{c}`" for c in inner if c not in ("shard", "order_key")], F.col("__shard").alias("shard"), F.col("__order").alias("order_key"))
+
+
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
+
+
+def write_shards(docs: DataFrame, path: str, **options) -> None:
+    """The mix as one folder a shard (``shard=0`` ...), every file in the shard's order."""
+    mixed_documents(docs, placed=True, **options).write.partitionBy("shard").parquet(path)

@@ -27,12 +27,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, beside its source's size and target."""
+    """Words that the mix takes of every document, in all and by shard, beside its source's size and target."""
     placed, drawn = mixing.mix(table(spark, sf_dir, "documents"))
-    taken = drawn.groupBy(F.col("rank").alias("t_rank"), F.col("offset").alias("t_offset"), F.col("id").alias("t_id"), F.col("th").alias("t_th")).agg(F.sum("length").alias("taken"))
+    piece = F.struct("shard", "order_key", F.col("length").alias("words"))
+    taken = drawn.groupBy(F.col("rank").alias("t_rank"), F.col("offset").alias("t_offset")).agg(F.sort_array(F.collect_list(piece)).alias("shards"))
     # an offset names one row with words; rows without any share theirs and are never drawn
-    same = F.expr("rank = t_rank AND offset = t_offset AND id <=> t_id AND th = t_th AND size > 0")
-    return placed.join(taken, same, "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    out = placed.join(taken, F.expr("rank = t_rank AND offset = t_offset AND size > 0"), "left")
+    words = F.coalesce(F.aggregate("shards", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", words.alias("taken"), "shards")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

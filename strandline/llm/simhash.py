@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.components import components
-from strandline.plans.shared import materialize
+from strandline.plans.shared import materialize, release
 
 SEED = 42
 
@@ -110,26 +110,49 @@ def near_edges(distinct: DataFrame, radius: int = 3, gather: int = 4096) -> Data
     return edges
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 3, gather: int = 4096) -> DataFrame:
-    """One row (id, fp long, component_id) per row of ``docs``: its fingerprint and the smallest id reachable over links.
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 3, gather: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row (id, fp long, component_id, root, and the columns ``carry``) per row of ``docs``: its fingerprint, the
+    smallest id reachable over links, and the fingerprint that names its component.
 
     Copies share a fingerprint and so are one node, however many there are; only distinct fingerprints
-    are compared.  Null and empty texts have fingerprint zero and link like any other; a null id keeps
-    its row and is never a component's id unless all are null.  Repeated rows stay; an empty table gives
-    an empty result; other columns of ``docs`` are not read.
+    are compared.  Null and empty texts have fingerprint zero and link like any other; very long texts are
+    hashed whole, in memory in proportion to the text; a null id keeps its row and is never a component's id
+    unless all are null.  Repeated rows stay; an id that repeats is one name for its rows, so there are no
+    ties; an empty table gives an empty result; other columns of ``docs`` are not read, and those in ``carry``
+    must not be named like an output column.
     """
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64))
 
-    marked = materialize(docs.select(F.col(id).alias("id"), prints(F.col(text).cast("binary")).alias("fp")), "prints")
+    marked = materialize(docs.select(F.col(id).alias("id"), prints(F.col(text).cast("binary")).alias("fp"), *carry), "prints")
     nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
     nodes = materialize(nodes, "fingerprints")
     roots = components(near_edges(nodes.select("fp"), radius, gather))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(named.join(ids, "root").select("fp", "component_id"), "classes")
+    classes = materialize(named.join(ids, "root").select("fp", "component_id", "root"), "classes")
+    release(nodes, named)
     # inner equi-join; adaptive execution splits the partition of a fingerprint that many copies share
-    return marked.join(classes, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    return marked.join(classes, "fp").select(F.col("id").alias(id), "fp", "component_id", "root", *carry)
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
+    """``docs`` with one row of every component of near duplicates: that of the smallest id.
+
+    Where an id repeats, the row whose text and then whose other columns have the smallest hash; a null id
+    counts as the largest.  Rows alike in all columns are one.  Rows without words are one component.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumns({"__th": F.xxhash64(F.col(text), F.col(text).isNull()), "__row": F.xxhash64(*plain, *[c.isNull() for c in plain])})
+    rows = materialize(near_duplicates(marked, id, text, radius, carry=("__th", "__row")).withColumnRenamed(id, "__id"), "components")
+    name = F.struct(F.col("__id").isNull().alias("late"), "__id", "__th", "__row")
+    first = materialize(rows.groupBy("root").agg(F.min(name).alias("first")), "firsts")
+    kept = first.select("first.__th", "first.__row")
+    gone = materialize(rows.select("__th", "__row").distinct().join(kept, ["__th", "__row"], "left_anti"), "near-copies")
+    out = marked.join(gone, ["__th", "__row"], "left_anti")
+    if rows.join(kept, ["__th", "__row"]).count() > kept.count():  # a row that stays is repeated in all columns
+        out = out.dropDuplicates(["__th", "__row"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,22 +34,50 @@ def features(text: str | None) -> Counter:
     return words + heads
 
 
+class Tally:
+    """Counts of the features of a vocabulary, over batches of texts."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.known = vocabulary
+        self.starts = {f[:4] for f in vocabulary}  # a word whose first four letters are not here has no feature
+
+    def __call__(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature, logarithm of one plus the count), one entry per text and feature found in it."""
+        known, starts, rows, cols, counts = self.known, self.starts, [], [], []
+        for r, text in enumerate(texts):
+            found: dict[int, int] = {}
+            words = Counter(_WORD.findall((text or "").lower()))
+            for w, n in [x for x in words.items() if x[0][:4] in starts]:
+                for f in (w, w[:4] + "|", w[:5] + "|")[: 1 + (len(w) > 4) + (len(w) > 5)]:
+                    k = known.get(f)
+                    if k is not None:
+                        found[k] = found.get(k, 0) + n
+            rows += [r] * len(found)
+            cols += found.keys()
+            counts += found.values()
+        return np.array(rows, np.int64), np.array(cols, np.int64), np.log1p(np.array(counts, np.float64))
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    toxic_from: int = 1  #: the lowest grade that counts as toxic
+
+    def __post_init__(self):
+        self.tally = Tally(self.vocabulary)
+
+    def severities(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(expected grade, probability of a toxic grade) of every text: one sparse product."""
+        rows, cols, values = self.tally(texts)
+        scores = np.bincount(rows, weights=values * self.weights[cols], minlength=len(texts))
+        over = 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
+        return over.sum(1), over[:, self.toxic_from - 1]
 
     def severity(self, text: str | None) -> tuple[float, float]:
-        """(expected severity, probability of a grade above 0)."""
-        known, score = self.vocabulary, 0.0
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            for f in (w, w[:4] + "|") if len(w) == 5 else (w, w[:4] + "|", w[:5] + "|") if len(w) > 5 else (w,):
-                k = known.get(f)
-                if k is not None:
-                    score += self.weights[k] * np.log1p(n)
-        over = 1.0 / (1.0 + np.exp(np.clip(self.thresholds - score, -500, 500)))
-        return float(over.sum()), float(over[0]) if len(over) else 0.0
+        grade, toxic = self.severities([text])
+        return float(grade[0]), float(toxic[0])
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -89,19 +117,25 @@ def _one_of_each(rows: DataFrame, max_rows: int) -> DataFrame:
     return rows.join(F.broadcast(keys.select("id", "h").distinct()), ["id", "h"]).drop("h")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, least_docs: int = 5, n_grades: int = 4, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, least_docs: int = 5, max_grades: int = 16, id: str = "doc_id", text: str = "text", label: str = "toxic", quality: str = "quality") -> Model:
     """Fit on at most ``max_rows`` labelled documents: those whose id has the smallest hash.
 
-    A document that repeats an id and its text counts once; an id's other texts have its label too.
-
-    Labels say toxic or not.  Grade 0 is not toxic; toxic documents take grades 1 .. n_grades - 1 in equal
-    parts, by how large a share of their words are ones that labels tie to toxicity.  Candidate features
-    stand in ``least_docs`` of the documents and lean most to the toxic class (by z score), so that a text
-    of unknown words is not toxic; the driver gets ``max_features`` of them, and each sampled document's
-    counts of those only.
-    Null labels and ids are left out.  Without both classes the model finds nothing toxic.
+    Grades come from the labels alone.  ``label`` is 0 for harmless and grows with severity; where ``labels``
+    has ``quality``, harmless documents have two grades, of good quality (1, or unknown) and of poor quality
+    (0), and the toxic ones come above.  Candidate features stand in ``least_docs`` of the documents and
+    lean to either class by more than three standard errors; those that lean most are kept.  The driver gets
+    ``max_features`` of them, and each sampled document's counts of those only.  Thresholds of toxic grades are
+    raised, if need be, so that a text without any feature is toxic with a probability of one quarter at most.
+
+    An id with several labels has the largest; a document that repeats an id and its text counts once; an id's
+    other texts have its label too.  Null labels and ids are left out; null and empty texts have no features;
+    very long ones are read whole; ties among features go by name, and among rows by a hash.  Without both
+    classes, as on an empty table, the model finds nothing toxic.  Other columns are not read.
     """
-    some = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
+    step, toxic_from = F.col(label).cast("int"), 1 + (quality in labels.columns)
+    if quality in labels.columns:
+        step = F.when(step > 0, step + 1).when(F.col(quality).cast("int") == 0, 1).otherwise(0)
+    some = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.greatest(F.lit(0), F.least(step, F.lit(max_grades - 1))).alias("y"))
     # by id before it is counted: labels that repeat ids must not narrow the range
     some = materialize(some.groupBy("id").agg(F.max("y").alias("y")), "label-ids")
     # a hash range that holds about twice the bound, so that the sort by hash behind it is small at every size
@@ -127,55 +161,52 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
 
         for batch in batches:
             for text, y in zip(batch.column("text"), batch.column("y")):
-                held[int(y.as_py() > 0)].update(features(text.as_py()).keys())
+                held[int(y.as_py() >= toxic_from)].update(features(text.as_py()).keys())
                 if len(held[0]) + len(held[1]) > 500_000:
                     yield from drain()
         yield from drain()
 
-    n = {r["y"] > 0: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    neg, pos = n.get(False, 0), n.get(True, 0)
+    n = rows.agg(F.count_if(F.col("y") < toxic_from).alias("neg"), F.count_if(F.col("y") >= toxic_from).alias("pos")).first()
+    neg, pos = n["neg"], n["pos"]
     if not neg or not pos:
-        return Model({}, np.zeros(0), np.full(n_grades - 1, 50.0))
+        return Model({}, np.zeros(0), np.full(1, 50.0))
     counts = rows.select("text", "y").mapInArrow(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     both = (F.col("neg") + F.col("pos")) / (neg + pos)
     z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(both * (1 - both) * (1 / pos + 1 / neg) + 1e-12)
-    best = counts.where(F.col("neg") + F.col("pos") >= least_docs).withColumn("z", z).where(F.col("z") > 3).orderBy(F.desc("z"), "f").limit(max_features)
-    best = best.collect()
-    vocabulary = {r["f"]: k for k, r in enumerate(best)}
-    telling = {r["f"] for r in best if r["pos"] / pos > 4 * r["neg"] / neg}
+    best = counts.where(F.col("neg") + F.col("pos") >= least_docs).withColumn("z", z).where(F.abs("z") > 3).orderBy(F.desc(F.abs("z")), "f").limit(max_features)
+    vocabulary = {r["f"]: k for k, r in enumerate(best.collect())}
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(vocabulary)
         for batch in batches:
-            out = []
-            for i, text, y in zip(batch["id"], batch["text"], batch["y"]):
-                seen = features(text)
-                known = [(vocabulary[f], float(np.log1p(c))) for f, c in seen.items() if f in vocabulary]
-                words = sum(c for f, c in seen.items() if f[-1] != "|")
-                hits = sum(c for f, c in seen.items() if f in telling and f[-1] != "|")
-                out.append((i, int(y > 0), hits / max(1, words), [k for k, _ in known], [v for _, v in known]))
-            yield pd.DataFrame(out, columns=["id", "y", "share", "cols", "vals"])
-
-    data = rows.mapInPandas(encode, "id long, y int, share double, cols array<int>, vals array<double>").toPandas().sort_values(["id", "share"], kind="stable").reset_index(drop=True)
-    grades = np.zeros(len(data), np.int64)
-    bad = np.flatnonzero(data["y"].to_numpy() > 0)
-    order = bad[np.argsort(data["share"].to_numpy()[bad], kind="stable")]
-    grades[order] = 1 + np.arange(len(order)) * (n_grades - 1) // max(1, len(order))
-    lengths = data["cols"].map(len).to_numpy()
+            rows, cols, values = tally(x.as_py() for x in batch.column("text"))
+            ends = np.searchsorted(rows, np.arange(1, len(batch)))
+            parts = [pa.array(np.split(x, ends), pa.list_(t)) for x, t in ((cols, pa.int64()), (values, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *parts], names=["id", "y", "cols", "vals"])
+
+    kind = dict(rows.dtypes)
+    data = rows.select("id", "y", "text").mapInArrow(encode, f"id {kind['id']}, y int, cols array<bigint>, vals array<double>").toPandas()
+    data["n"] = data["cols"].map(len)
+    data = data.sort_values(["id", "y", "n"], kind="stable").reset_index(drop=True)
+    lengths, grades = data["n"].to_numpy(np.int64), data["y"].to_numpy(np.int64)
     triples = np.repeat(np.arange(len(data)), lengths), np.concatenate([np.asarray(x, np.int64) for x in data["cols"]]), np.concatenate([np.asarray(x, np.float64) for x in data["vals"]])
-    weights, thresholds = fit_ordinal(*triples, grades, len(vocabulary), n_grades)
-    return Model(vocabulary, weights, thresholds)
+    weights, thresholds = fit_ordinal(*triples, grades, len(vocabulary), int(grades.max()) + 1, l2=0.01)
+    # a text without any feature is toxic with a probability of one quarter at most
+    return Model(vocabulary, weights, np.maximum(thresholds, np.where(np.arange(len(thresholds)) < toxic_from - 1, -np.inf, np.log(3.0))), toxic_from)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.4) -> DataFrame:
-    """``docs`` plus ``severity`` (expected grade), ``p_toxic`` (of any grade above 0) and ``toxic`` (at ``least`` or more).
+def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
+    """``docs`` plus ``severity`` (expected grade), ``p_toxic`` (probability of a toxic grade) and ``toxic`` (at ``least`` or more).
 
-    Whole texts count, each by itself; null and empty texts are scored by the thresholds alone.  Input
-    columns named like an output column are replaced; an empty table gives an empty result.
+    Whole texts count, each by itself, very long ones too; null and empty texts are scored by the thresholds
+    alone.  Equal texts score alike, so repeated rows and ties need no rule.  Input columns named like an output
+    column are replaced, others go through; an empty table gives an empty result.
     """
 
     @F.pandas_udf("severity double, p_toxic double")
     def grade(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.severity(x) for x in texts], columns=["severity", "p_toxic"])
+        severity, toxic = model.severities(texts.tolist())
+        return pd.DataFrame({"severity": severity, "p_toxic": toxic})
 
     out = docs.drop("severity", "p_toxic", "toxic").withColumn("__s", grade(F.col(text)))
     return out.withColumns({"severity": F.col("__s.severity"), "p_toxic": F.col("__s.p_toxic"), "toxic": F.col("__s.p_toxic") >= least}).drop("__s")

@@ -70,9 +70,43 @@ def test_edges_and_shards(spark):
     for s, n in sizes.items():
         assert words.get(s, 0) == sum(taken.get((r.rank, r.offset), 0) for r in rows if r.source == s and r["size"])
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+    assert mixing.mixed_documents(docs, block_words=8).collect() == mixed.collect()
+    lists = mixing.mixed_documents(docs.withColumn("shard", F.lit("clash")), block_words=8, placed=True).withColumn("part", F.spark_partition_id()).collect()
+    for part in {r.part for r in lists}:  # every task's rows lie shard by shard, each in its own order
+        own = [(r.shard, r.order_key) for r in lists if r.part == part]
+        assert own == sorted(own)
+    assert len({r.shard for r in lists}) == 16
     assert "Python" not in drawn._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_tree_decides(spark, monkeypatch):
+    """Blocks are taken where a shard's quota reaches them: with smaller quotas, less is taken."""
+    docs = documents(spark)
+    full = mixing.mix(docs, block_words=8)[1]
+    plain = mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a, **k: plain(*a, **k).withColumn("upto", F.transform("upto", lambda u: F.floor(u / 2))))
+    half = mixing.mix(docs, block_words=8)[1]
+    assert 0.4 < half.count() / full.count() < 0.6
+
+
+def test_many_sources(spark):
+    """Quotas drawn in rows of a few sources are as exact as drawn all at once."""
+    plan = spark.range(1, 101).select(F.col("id").alias("rank"), (F.col("id") * 7 % 31).alias("quota"))
+    rows = mixing.shard_quotas(plan, 3, seed=5, group=9).collect()
+    want = {r.rank: r.quota for r in plan.collect()}
+    assert {r.rank: r.upto[-1] for r in rows} == want
+    shards = np.array([np.diff([0, *r.upto]) for r in rows])
+    assert (shards >= 0).all() and np.ptp(shards.sum(0)) <= 3 and shards.shape == (100, 8)
+
+
+def test_one_text_in_two_sources(spark):
+    """Rows that share id and text, but not the source, each reach their own source's target."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j", "A"), (1, "a b c d e f g h i j", "B")], "doc_id long, text string, source string")
+    got = mixing.mixed_documents(docs).collect()
+    words = {s: [w for r in got if r.source == s for w in r.text.split()] for s in "AB"}
+    assert len(words["A"]) in (6, 7) and len(words["B"]) in (13, 14) and set(words["B"]) == set("abcdefghij")
+
+
 def test_hypergeometric(spark):
     """Mean and variance of many draws against the distribution's own, small and very large."""
     for good, bad, sample in ((5, 7, 4), (300, 100, 200), (10**12, 3 * 10**12, 2 * 10**12), (0, 5, 3), (5, 0, 3), (3, 4, 7)):

@@ -18,6 +18,54 @@ def test_ordinal_fit_recovers_order():
     assert np.abs(w - true_w).max() < 0.25 and np.abs(t - true_t).max() < 0.25 and (np.diff(t) > 0).all()
 
 
+def test_ordinal_fit_against_brute_force():
+    """The fit is a minimum of the loss as the model is written down: no small step in any direction lowers it."""
+    rnd = np.random.default_rng(2)
+    n, k, l2 = 300, 3, 1e-3
+    x = rnd.normal(size=(n, k))
+    grades = ((x @ np.array([1.0, -0.5, 0.2]) + rnd.logistic(size=n))[:, None] > np.array([-0.3, 0.9])).sum(1)
+
+    def loss(w, t):
+        total = 0.0
+        for row, g in zip(x, grades):
+            over = [1.0, *(1 / (1 + np.exp(b - row @ w)) for b in t), 0.0]  # P(grade >= 0), P(grade > 0), P(grade > 1), 0
+            total -= np.log(over[g] - over[g + 1])
+        return total / n + l2 * (w @ w) / 2 / k
+
+    w, t = toxicity.fit_ordinal(np.repeat(np.arange(n), k), np.tile(np.arange(k), n), x.ravel(), grades, k, 3, l2=l2, rounds=3000)
+    least = loss(w, t)
+    for _ in range(60):
+        dw, dt = rnd.normal(size=k) * 0.05, rnd.normal(size=2) * 0.05
+        assert loss(w + dw, t + dt) >= least - 1e-6
+    assert least < loss(np.zeros(k), np.log([1 / (grades >= 1).mean() - 1, 1 / (grades >= 2).mean() - 1])) - 0.01
+
+
+def test_scores_against_brute_force(spark):
+    """Severity is the sum over grades of P(grade > k), from weights times log counts, feature by feature."""
+    words = ["vile", "fools", "fool", "foolish", "day", "nice"]
+    model = toxicity.Model({"vile": 0, "fool|": 1, "fooli|": 2, "nice": 3}, np.array([1.5, 0.7, 0.4, -1.0]), np.array([0.5, 2.0]))
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(rnd.choice(words, size=rnd.integers(0, 30))) for _ in range(40)] + [None, "", "Vile, FOOLISH!"]
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        counts = toxicity.features(r.text)
+        z = sum(model.weights[k] * np.log1p(counts[f]) for f, k in model.vocabulary.items())
+        over = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert abs(r.severity - sum(over)) < 1e-9 and abs(r.p_toxic - over[0]) < 1e-9
+
+
+def test_grades_come_from_labels(spark, monkeypatch):
+    """Harmless, harmless of poor quality, toxic: in this order, whatever the texts say; features of both signs are used."""
+    say = F.when(F.col("doc_id") % 3 == 0, "such a vile fool").otherwise("a fine day for all")
+    docs = spark.range(300).withColumnRenamed("id", "doc_id").withColumn("text", say)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"), (F.col("doc_id") % 2).cast("int").alias("quality"))
+    used, plain = [], toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda r, c, v, grades, *a, **k: used.append(grades) or plain(r, c, v, grades, *a, **k))
+    model = toxicity.fit(docs, labels)
+    assert np.bincount(used[0]).tolist() == [100, 100, 100] and len(model.thresholds) == model.toxic_from == 2
+    assert {"vile", "fine"} <= set(model.vocabulary) and model.weights[model.vocabulary["vile"]] > 0 > model.weights[model.vocabulary["fine"]]
+
+
 def test_op3_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = Q.op3_toxicity(spark, sf)
