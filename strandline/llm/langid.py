@@ -20,27 +20,33 @@ from pyspark.sql import functions as F
 
 
 BITS = 21  #: a code point has 21 bits, so three fit into one signed 64-bit number
-_letter: list[np.ndarray] = []
+_kinds: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
-    if not _letter:
-        table = np.zeros(sys.maxunicode + 1, dtype=bool)
-        table[[i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "L" or unicodedata.category(chr(i)) == "Mn"]] = True
-        _letter.append(table)
-    return _letter[0]
+def _alphabet() -> np.ndarray:
+    """By code point: 2 for a letter, 1 for a combining mark, which belongs to a word but is no letter, 0 for the rest."""
+    if not _kinds:
+        table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+        for i in range(sys.maxunicode + 1):
+            kind = unicodedata.category(chr(i))
+            table[i] = 2 if kind[0] == "L" else kind == "Mn"
+        _kinds.append(table)
+    return _kinds[0]
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 1- to 3-grams of the lower-cased letters (one border mark between words), as numbers, and their counts."""
+    """Distinct 1- to 3-grams of the lower-cased words (one border mark between them), as numbers, and their counts.
+
+    Words are runs of letters and combining marks; a text without any letter has none.
+    """
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    letter = _is_letter()[codes]
-    if not letter.any():
+    kinds = _alphabet()[codes]
+    if not (kinds == 2).any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    codes = np.where(letter, codes, ord(" "))
-    edge = np.concatenate(([True], letter)) | np.concatenate((letter, [True]))  # drop gaps that follow gaps
-    codes = np.concatenate(([ord(" ")], codes))
-    codes = np.concatenate((codes[edge], [ord(" ")]))
+    letter = kinds > 0
+    codes = np.concatenate(([ord(" ")], np.where(letter, codes, ord(" ")), [ord(" ")]))
+    gap = codes == ord(" ")
+    codes = codes[np.concatenate(([True], ~(gap[1:] & gap[:-1])))]  # gaps that follow gaps go
     one = codes[codes != ord(" ")]
     two = (codes[:-1] << BITS) | codes[1:]
     three = (two[:-1] << BITS) | codes[2:]
@@ -80,7 +86,7 @@ class Profiles:
 
 
 def learn(docs: DataFrame, size: int = 300, max_langs: int = 1000, text: str = "text", lang: str = "lang") -> Profiles:
-    """Profiles from all rows of ``docs`` that have a language.
+    """Profiles from all rows of ``docs`` that have a language and a text; none, and every prediction is ``und``.
 
     Each task counts the grams of its own rows; Spark adds the counts and ranks them.  What reaches the
     driver is at most ``size`` grams for each of at most ``max_langs`` languages (more is an error).
@@ -122,8 +128,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     """``docs`` plus ``lang_pred`` and ``score``; each row is judged by its whole text alone.
 
     Null, empty and letterless texts give ``und`` with score 0; a tie goes to the language first in
-    code-point order.  Very long texts cost memory in proportion to themselves.  Input columns named
-    like an output column are replaced; an empty table gives an empty result.
+    code-point order, and among n-grams to the smaller number.  Very long texts cost memory in proportion to
+    themselves.  Repeated rows are judged alike, each by itself.  Input columns named like an output column are
+    replaced; an empty table gives an empty result.
     """
 
     @F.pandas_udf("lang_pred string, score double")

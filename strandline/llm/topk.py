@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from strandline.plans.shared import materialize
 
-TILE = "dims int, ids binary, body binary"
+TILE = "dims int, kind string, ids binary, body binary"
+KINDS = (("<i2", 2.0**15), ("<i4", 2.0**31), ("<f8", float("inf")))  #: what a tile's components are kept as, the narrowest that holds them
 
 
 def _tiles(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v) packed, task by task, into tiles of up to ``size`` vectors of equal length, ordered by id."""
+    """Rows (id, v) packed, task by task, into tiles of up to ``size`` vectors of equal length, ordered by id, components as floor(1024 x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -27,8 +28,11 @@ def _tiles(rows: DataFrame, size: int) -> DataFrame:
             while len(ids) - at >= max(1, least):
                 part = slice(at, at + size)
                 order = np.argsort(ids[part], kind="stable")
-                cols = [pa.array([dims], pa.int32()), pa.array([ids[part][order].tobytes()], pa.binary()), pa.array([body[part][order].tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["dims", "ids", "body"])
+                own = body[part][order]
+                top = np.abs(own).max(initial=0)
+                kind = next(k for k, least in KINDS if top < least)
+                cols = [pa.array([dims], pa.int32()), pa.array([kind]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[part][order], own.astype(kind)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["dims", "kind", "ids", "body"])
                 at += size
             held[dims] = [(ids[at:], body[at:])]
 
@@ -78,12 +82,23 @@ def _first(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding", query_tile: int = 512, tile: int = 4096) -> DataFrame:
+def grid(tiles: int, query_tiles: int, cell_pairs: int, least: int) -> tuple[int, int]:
+    """(rows, columns) of a grid over ``tiles`` x ``query_tiles`` pairs: a cell for ``cell_pairs`` of them, and ``least`` cells if there are as many pairs."""
+    pairs = tiles * query_tiles
+    cells = max(1, min(pairs, max(least, -(-pairs // cell_pairs))))
+    columns = max(1, min(query_tiles, round((cells * query_tiles / max(1, tiles)) ** 0.5)))
+    return max(1, min(tiles, -(-cells // columns))), columns
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding", query_tile: int = 512, tile: int = 4096, cell_pairs: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k highest integer inner products with all other rows.
 
-    Components x count as floor(1024 * x).  Each data tile meets each query tile through an equi-join on a
-    deal number (query tiles are copied to every deal), one matrix product a pair; a task keeps k per query
-    of a pair, then deals merge in two levels of grouped top-k, which Spark prunes before each shuffle.
+    Components x count as floor(1024 * x).  Data tiles are dealt into rows and query tiles into columns of a
+    grid; every cell is one key of an equi-join, whose task multiplies each of its data tiles with each of its
+    query tiles and keeps k per query of a pair.  The grid has a cell for some ``cell_pairs`` pairs of tiles, and
+    the shape that copies least (each data tile to every column, each query tile to every row), so that work and
+    copies are spread whatever the number of queries; nothing is broadcast.  The rows' lists merge in two levels
+    of grouped top-k, which Spark prunes before each shuffle.
 
     Vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
     vectors meet only those of equal length; rows that share an id are not candidates for one another.
@@ -95,18 +110,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id"
     rows = vectors.where(F.col(id).isNotNull() & F.col(vector).isNotNull()).where(fine).select(F.col(id).cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
     queries = rows.where("q").select("id", "v").distinct()
     n = queries.count()
-    deals = 16
-    asked = _tiles(queries.repartition(max(1, -(-n // query_tile)), "id"), query_tile)
-    asked = materialize(asked, "queries").select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
-    asked = asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    data = _tiles(rows.select("id", "v"), tile).withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(deals)).cast("int"))
+    asked = materialize(_tiles(queries.repartition(max(1, -(-n // query_tile)), "id"), query_tile), "queries")
+    data = materialize(_tiles(rows.select("id", "v"), tile), "tiles")
+    down, across = grid(data.count(), asked.count(), cell_pairs, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    cells = down * across
+    deal = lambda n: F.pmod(F.xxhash64("ids", "body"), F.lit(n))
+    cell = lambda row, column: F.col("dims") * F.lit(cells).cast("long") + row * across + column
+    # both sides by the same number of partitions: adaptive execution would join cells that are small in bytes, not in work
+    asked = asked.withColumns({"column": deal(across), "row": F.explode(F.sequence(F.lit(0), F.lit(down - 1)))})
+    asked = asked.select(cell(F.col("row"), F.col("column")).alias("cell"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body")).repartition(cells, "cell")
+    data = data.withColumns({"row": deal(down), "column": F.explode(F.sequence(F.lit(0), F.lit(across - 1)))})
+    data = data.select(cell(F.col("row"), F.col("column")).alias("cell"), F.col("row").cast("int").alias("deal"), "dims", "kind", "ids", "body").repartition(cells, "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dims, q_ids, q_body, ids, body, deal in zip(*(batch.column(c) for c in ("dims", "q_ids", "q_body", "ids", "body", "deal"))):
+            for dims, q_kind, q_ids, q_body, kind, ids, body, deal in zip(*(batch.column(c) for c in ("dims", "q_kind", "q_ids", "q_body", "kind", "ids", "body", "deal"))):
                 dims = dims.as_py()
                 q_ids, ids = (np.frombuffer(x.as_buffer(), np.int64) for x in (q_ids, ids))
-                q, d = (np.frombuffer(x.as_buffer(), np.float64).reshape(len(i), dims) for x, i in ((q_body, q_ids), (body, ids)))
+                q, d = (np.frombuffer(x.as_buffer(), k.as_py()).astype(np.float64).reshape(len(i), dims) for x, k, i in ((q_body, q_kind, q_ids), (body, kind, ids)))
                 scores = products(q, d)
                 own = int(np.unique(ids, return_counts=True)[1].max(initial=0))  # as many more as a query's own rows could take
                 row, found, score = best(scores, ids, k + own)
@@ -114,7 +135,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id"
                 cols = [q_ids[row][other], found[other], score[other]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(cols[0]), deal.as_py(), np.int32))], names=["query_id", "vec_id", "score", "deal"])
 
-    pairs = data.join(asked, (data["deal"] == asked["deal"]) & (data["dims"] == asked["q_dims"])).select("dims", "q_ids", "q_body", "ids", "body", data["deal"])
+    pairs = data.join(asked.hint("merge"), "cell").drop("cell")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long, deal int")
     merged = _first(found, ["query_id", "deal"], k).drop("place")
     return _first(merged, ["query_id"], k).select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", "score")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,57 @@ def test_language_edges(spark):
     assert langid.learn(docs.limit(0)).predict("some text") == ("und", 0.0)
 
 
+def test_marks_are_no_letters(spark):
+    profiles = langid.learn(spark.createDataFrame([("der hund", "de"), ("the cat", "en")], "text string, lang string"))
+    texts = ["\u0301", "\u0301 \u0302 12", "e\u0301", "日", "--"]
+    rows = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), profiles).collect()
+    assert [r.lang_pred == "und" for r in sorted(rows)] == [True, True, False, False, True]
+
+
+def plain_grams(text):
+    """Counts of 1- to 3-grams, counted one by one, with a border before, between and behind words."""
+    import unicodedata
+
+    kinds = [unicodedata.category(c) for c in text.lower()]
+    if not any(k[0] == "L" for k in kinds):
+        return {}
+    words = "".join(c if k[0] == "L" or k == "Mn" else " " for c, k in zip(text.lower(), kinds)).split()
+    line, counts = " " + " ".join(words) + " ", {}
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            if n > 1 or line[i] != " ":
+                counts[line[i : i + n]] = counts.get(line[i : i + n], 0) + 1
+    return counts
+
+
+def plain_rank(counts, size):
+    number = lambda g: sum(ord(c) << (21 * k) for k, c in enumerate(reversed(g)))
+    return sorted(counts, key=lambda g: (-counts[g], number(g)))[:size]
+
+
+def test_out_of_place_against_brute_force(spark, sf):
+    """Profiles and verdicts by the rule: ranks compared gram by gram, an unknown gram as far as a profile is long."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs += [(-1, "e\u0301te\u0301 Éte", "fr"), (-2, "\u0301", None), (-3, "日本語 の 本", None), (-4, None, "en")]
+    size, totals = 40, {}
+    for _, text, lang in docs:
+        if text is not None and lang is not None:
+            own = totals.setdefault(lang, {})
+            for g, n in plain_grams(text).items():
+                own[g] = own.get(g, 0) + n
+    ranked = {lang: {g: k for k, g in enumerate(plain_rank(totals[lang], size))} for lang in sorted(totals)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame, langid.learn(frame, size=size)).collect()}
+    for i, text, _ in docs:
+        own = plain_rank(plain_grams(text or ""), size)
+        if not own:
+            assert got[i] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)) for lang, p in ranked.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        assert got[i][0] == best and abs(got[i][1] - (1 - far[best] / (len(own) * size))) < 1e-12
+
+
 def plain_quality(text):
     words = WORD.findall(text or "")
     grams, seen = [tuple(words[i : i + 5]) for i in range(len(words) - 4)], {}
@@ -246,3 +298,26 @@ def test_topk_edges(spark):
         got = topk.search(frame, F.col("vec_id") % 100 == 0, tile=tile, query_tile=2)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.search(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_topk_work_is_spread(spark):
+    """More product tasks than any fixed number of deals, and no broadcast."""
+    rnd = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rnd.normal(size=(6000, 4)))]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), F.col("vec_id") % 10 == 0, k=3, tile=40, query_tile=20, cell_pairs=4)
+    found = got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("hashpartitioning(cell") >= 2
+    assert {int(n) > 500 for n in re.findall(r"hashpartitioning\(cell#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)} == {True}
+    whole = np.floor(1024 * np.array([v for _, v in rows]))
+    for q in (0, 10, 5990):
+        scores = whole @ whole[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(rows)), -scores))[:3]
+        assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == [(int(i), int(scores[i])) for i in best]
+
+
+def test_grid_shapes():
+    for tiles, asked in ((0, 0), (1, 1), (13, 11), (244_000, 20_000), (5, 400)):
+        down, across = topk.grid(tiles, asked, 32, 16)
+        assert 1 <= down <= max(1, tiles) and 1 <= across <= max(1, asked) and down * across >= min(tiles * asked, 16) // 2
