@@ -54,3 +54,9 @@ def shell_quote(text: Column) -> Column:
 def cursor_chars(command: Column, cursor_bytes: Column) -> Column:
     """A byte offset as a number of characters."""
     return F.length(F.decode(F.substring(F.encode(command, "UTF-8"), F.lit(1), cursor_bytes), "UTF-8"))
+
+
+def comment_lines(text: Column) -> Column:
+    """Every line as a shell comment, without line feeds at the end of the text or spaces at the end of a line."""
+    lines = F.split(F.regexp_replace(text, r"\n+\z", ""), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.rtrim(F.concat(F.lit("# "), x))), "\n")

@@ -26,6 +26,18 @@ def metrics(results: DataFrame, relevant: DataFrame, queries: DataFrame, by: lis
     return rows.groupBy(*by).agg(share(F.col("rank") == 1).alias("top1"), share(F.col("rank") <= 5).alias("top5"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count("*").alias("n_queries"))
 
 
+def recall_at(results: DataFrame, relevant: DataFrame, queries: DataFrame, depth: int = 4) -> DataFrame:
+    """One row (found, n_queries): queries with a relevant result among the ``depth`` best."""
+    asked = queries.select("query_id").distinct()
+    missed = misses(results, relevant, asked, depth).select("query_id", F.lit(True).alias("missed"))
+    return asked.join(missed, "query_id", "left").agg(F.count_if(F.col("missed").isNull()).alias("found"), F.count("*").alias("n_queries"))
+
+
+def median(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """The exact median of ``value`` per group."""
+    return rows.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("runs"))
+
+
 def misses(results: DataFrame, relevant: DataFrame, queries: DataFrame, depth: int = 5) -> DataFrame:
     """Queries without a relevant result among the ``depth`` best."""
     hits = results.where(F.col("rank") <= depth).join(relevant, ["query_id", "id"])

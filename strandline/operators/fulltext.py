@@ -11,9 +11,11 @@ import re
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.plans.shared import materialize, spread
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -31,14 +33,18 @@ ACCENTED, PLAIN = _folding()
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower case, without accents."""
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), ACCENTED, PLAIN), r"\p{Mn}+", "")
-    return F.regexp_extract_all(F.lower(marked), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, lower case, without accents.  Texts of ASCII alone skip the folding, which costs most."""
+    text = F.coalesce(text, F.lit(""))
+    folded = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}+", "")
+    return F.regexp_extract_all(F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+_FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
 def query_words(query: str) -> list[str]:
-    """A query's words, folded like documents; operators and punctuation in it mean nothing."""
-    folded = "".join(c for c in unicodedata.normalize("NFD", query) if unicodedata.category(c) != "Mn")
+    """A query's words, folded exactly like documents; operators and punctuation in it mean nothing."""
+    folded = "".join(c for c in query.translate(_FOLD) if unicodedata.category(c) != "Mn")
     return re.findall(r"[^\W_]+", folded.lower())
 
 
@@ -61,36 +67,43 @@ def keyword_search(docs: DataFrame, query: str, mode: str = "and", where: Column
     words = query_words(query)
     if not words:
         return docs.select(F.col(id), F.lit(0.0).alias("bm25")).limit(0)
-    rows = docs.withColumn("__t", tokens(F.col(text)))
     names = {w: f"__f{i}" for i, w in enumerate(dict.fromkeys(words))}
+    rows = spread(docs).select(F.col(id).alias("__id"), tokens(F.col(text)).alias("__t"), (F.lit(True) if where is None else where).alias("__ok"))
 
     def matching(word: str) -> Column:
         return F.size(F.filter("__t", lambda x: x.startswith(word)))
 
-    rows = rows.withColumns({"__len": F.size("__t")} | {c: matching(w) for w, c in names.items()})
+    # written, so that texts are cut into words once: the weights need all rows before any can be scored
+    rows = materialize(rows.select("__id", "__ok", F.size("__t").alias("__len"), *[matching(w).alias(c) for w, c in names.items()]), "matches")
     total = rows.agg(F.count("*").alias("n"), F.sum("__len").alias("len"), *[F.count_if(F.col(c) > 0).alias(c) for c in names.values()]).first()
     average = (total["len"] or 0) / total["n"] if total["n"] else 0.0
     idfs = [_idf(total["n"], total[names[w]]) for w in words]
     hit = [F.col(names[w]) > 0 for w in names]
-    rows = rows.where(reduce(lambda a, b: a & b if mode == "and" else a | b, hit))
-    if where is not None:
-        rows = rows.where(where)
+    rows = rows.where(reduce(lambda a, b: a & b if mode == "and" else a | b, hit)).where("__ok")
     score = _score([F.col(names[w]).cast("double") for w in words], F.col("__len"), idfs, average)
-    return rows.select(F.col(id), score.alias("bm25")).orderBy("bm25", id).limit(limit)
+    return rows.select(F.col("__id").alias(id), score.alias("bm25")).orderBy("bm25", id).limit(limit)
 
 
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings(term, doc_id, tf), lengths(doc_id, len)).  Terms of a document are counted inside its row."""
-    rows = docs.select(F.col(id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    terms = rows.select("doc_id", F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
-    return terms, rows.select("doc_id", F.size("t").alias("len"))
+    """(postings(term, doc_id, tf, len), stats(n, total)): every term of every document with the document's length, and one row
+    of corpus figures.  Terms of a document are counted inside its row's partial aggregate.
+    """
+    rows = spread(docs).select(F.col(id).alias("doc_id"), tokens(F.col(text)).alias("t"))
+    terms = rows.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"))
+    return terms.select("term", "doc_id", "tf", "len"), rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("total"))
 
 
 def write_index(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", partitions: int = 64) -> None:
-    """Postings by range of term, sorted, so that a prefix reads few row groups; a hot term spans several files."""
-    terms, lengths = postings(docs, id, text)
+    """Postings by range of term, sorted, so that a prefix reads few row groups (a hot term spans several files); distinct terms; corpus figures."""
+    terms, stats = postings(docs, id, text)
     terms.repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    docs.sparkSession.read.parquet(f"{path}/postings").select("term").distinct().write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, stats) of a written index; their schemas are known, so no file is opened for them."""
+    return spark.read.schema("term string, doc_id long, tf int, len int").parquet(f"{path}/postings"), spark.read.schema("n long, total long").parquet(f"{path}/stats")
 
 
 def _after(word: str) -> str:
@@ -98,20 +111,57 @@ def _after(word: str) -> str:
     return word[:-1] + chr(ord(word[-1]) + 1)
 
 
-def search_index(terms: DataFrame, lengths: DataFrame, query: str, mode: str = "and", limit: int = 50) -> DataFrame:
-    """``keyword_search`` over an index; each prefix is a range of terms that reaches the Parquet scan."""
+def _weight(n: Column, df: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
+
+
+def _share(count: Column, length: Column, idf: Column, n: Column, total: Column) -> Column:
+    """One word's part of the (negative) score."""
+    return -idf * count * (K1 + 1) / (count + K1 * (1 - B + B * length * n / F.greatest(total, F.lit(1))))
+
+
+def search_index(terms: DataFrame, stats: DataFrame, query: str, mode: str = "and", limit: int = 50, allowed: DataFrame | None = None) -> DataFrame:
+    """``keyword_search`` over an index, as one plan without any job of its own.
+
+    Each prefix is a range of terms that reaches the Parquet scan; document frequencies come from the same
+    postings, corpus figures from the stored row.  ``allowed(doc_id)`` narrows what is returned, before the
+    limit, but not the corpus that the weights come from.
+    """
     words = query_words(query)
     if not words:
-        return lengths.select("doc_id", F.lit(0.0).alias("bm25")).limit(0)
+        return terms.select("doc_id", F.lit(0.0).alias("bm25")).limit(0)
     distinct = list(dict.fromkeys(words))
     prefix = {w: (F.col("term") >= w) & (F.col("term") < _after(w)) for w in distinct}
     hits = terms.where(reduce(lambda a, b: a | b, prefix.values()))
-    counted = hits.groupBy("doc_id").agg(*[F.sum(F.when(cond, F.col("tf")).otherwise(0)).alias(f"f{i}") for i, cond in enumerate(prefix.values())])
-    total = lengths.agg(F.count("*").alias("n"), F.sum("len").alias("len")).first()
-    dfs = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"f{i}") for i in range(len(distinct))]).first()
-    idf = {w: _idf(total["n"], dfs[f"f{i}"] or 0) for i, w in enumerate(distinct)}
+    counted = hits.groupBy("doc_id").agg(F.max("len").alias("len"), *[F.sum(F.when(cond, F.col("tf")).otherwise(0)).alias(f"f{i}") for i, cond in enumerate(prefix.values())])
+    dfs = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(distinct))])
     have = [F.col(f"f{i}") > 0 for i in range(len(distinct))]
-    rows = counted.where(reduce(lambda a, b: a & b if mode == "and" else a | b, have)).join(lengths, "doc_id")
-    counts = [F.col(f"f{distinct.index(w)}").cast("double") for w in words]
-    score = _score(counts, F.col("len"), [idf[w] for w in words], (total["len"] or 0) / max(1, total["n"]))
+    rows = counted.where(reduce(lambda a, b: a & b if mode == "and" else a | b, have))
+    if allowed is not None:
+        rows = rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    rows = rows.join(F.broadcast(dfs)).join(F.broadcast(stats))  # one row each
+    at = [distinct.index(w) for w in words]
+    score = reduce(lambda a, b: a + b, [_share(F.col(f"f{i}"), F.col("len"), _weight(F.col("n"), F.col(f"d{i}")), F.col("n"), F.col("total")) for i in at])
     return rows.select("doc_id", score.alias("bm25")).orderBy("bm25", "doc_id").limit(limit)
+
+
+def search_many(terms: DataFrame, stats: DataFrame, queries: DataFrame, mode: str = "and", limit: int = 50) -> DataFrame:
+    """(query_id, id, rank, bm25): the best documents of every row of ``queries(query_id, query)``, by joins.
+
+    Query words meet the distinct terms by prefix in an equi-join (a term is spread into its beginnings, up to
+    the longest query word), and those terms meet the postings.
+    """
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    asked = materialize(asked, "query-words")
+    longest = asked.agg(F.coalesce(F.max(F.length("word")), F.lit(1))).first()[0]
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest))), lambda k: F.substring("term", F.lit(1), k))
+    matched = terms.select("term").distinct().select("term", F.explode(starts).alias("word")).join(asked.select("word").distinct(), "word")
+    hits = materialize(terms.join(matched, "term").groupBy("word", "doc_id").agg(F.sum("tf").alias("f"), F.max("len").alias("len")), "query-hits")
+    rows = asked.join(hits, "word").join(hits.groupBy("word").agg(F.count("*").alias("df")), "word").join(F.broadcast(stats))  # one row
+    share = F.col("times") * _share(F.col("f"), F.col("len"), _weight(F.col("n"), F.col("df")), F.col("n"), F.col("total"))
+    rows = rows.groupBy("query_id", "doc_id").agg(F.sum(share).alias("bm25"), F.count("*").alias("found"))
+    if mode == "and":
+        rows = rows.join(asked.groupBy("query_id").agg(F.count("*").alias("found")), ["query_id", "found"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "doc_id"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", F.col("doc_id").alias("id"), "rank", "bm25")

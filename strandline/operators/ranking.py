@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.fulltext import keyword_search
+from strandline.operators.fulltext import keyword_search, search_index
 from strandline.operators.vectors import top_k
 
 CANDIDATES, SUGGESTIONS = 50, 5
@@ -35,15 +35,19 @@ def fuse(lists: list[tuple[DataFrame, float]], rrf_k: int = 60) -> DataFrame:
     return both.groupBy("id").agg(F.sum("s").alias("score"))
 
 
-def rank(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[float] | None, params: Params = Params(), where: Column | None = None, limit: int = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
+def rank(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[float] | None, params: Params = Params(), where: Column | None = None, limit: int = 50, id: str = "doc_id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, score, keyword): the fused list, best first.  ``keyword`` marks ids that the keyword list holds.
 
     Each side gets the filter and keeps its best 50 before fusing; a side without weight is skipped, and so
-    is the vector side where there is no query vector.
+    is the vector side where there is no query vector.  ``index`` (postings, stats) spares the keyword side the texts.
     """
     sides = []
     if params.keyword_weight > 0:
-        found = keyword_search(docs, query, params.mode, where, CANDIDATES, id, text).withColumnRenamed(id, "id")
+        if index is None:
+            found = keyword_search(docs, query, params.mode, where, CANDIDATES, id, text).withColumnRenamed(id, "id")
+        else:
+            allowed = None if where is None else docs.where(where).select(F.col(id).alias("doc_id"))
+            found = search_index(*index, query, params.mode, CANDIDATES, allowed).withColumnRenamed("doc_id", "id")
         sides.append((ranked(found, F.asc("bm25"), F.asc("id")).withColumn("keyword", F.lit(True)), params.keyword_weight))
     if params.semantic_weight > 0 and query_vector is not None:
         candidates = vectors
@@ -58,6 +62,24 @@ def rank(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[flo
     return both.groupBy("id").agg(F.sum("s").alias("score"), F.bool_or("keyword").alias("keyword")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def rank_many(lists: dict[str, DataFrame], rankers: dict[str, Params], limit: int = 10) -> DataFrame:
+    """(ranker, query_id, id, rank) of many rankers over many queries, from the three lists that they share.
+
+    ``lists`` has ``and``, ``or`` and ``semantic`` as (query_id, id, rank), each up to the candidates of a side; a
+    ranker is at most two rows of a small table, which meets the lists by name.
+    """
+    sides = []
+    for name, p in rankers.items():
+        sides += [(name, p.mode, float(p.keyword_weight), p.rrf_k)] * (p.keyword_weight > 0) + [(name, "semantic", float(p.semantic_weight), p.rrf_k)] * (p.semantic_weight > 0)
+    spark = next(iter(lists.values())).sparkSession
+    table = spark.createDataFrame(sides, "ranker string, side string, weight double, k int")
+    rows = [df.where(F.col("rank") <= CANDIDATES).select(F.lit(side).alias("side"), "query_id", "id", "rank") for side, df in lists.items()]
+    rows = rows[0].union(rows[1]).union(rows[2]).join(F.broadcast(table), "side")  # two rows a ranker
+    fused = rows.groupBy("ranker", "query_id", "id").agg(F.sum(F.col("weight") / (F.col("k") + F.col("rank"))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("ranker", "query_id").orderBy(F.desc(F.round("score", 12)), "id"))
+    return fused.withColumn("rank", place).where(F.col("rank") <= limit).select("ranker", "query_id", "id", "rank")
+
+
 def interleave(history: DataFrame, suggestions: DataFrame, limit: int) -> DataFrame:
     """(pos, text, library): keyword matches of ``history(text, pos, keyword)`` first, then the rest of it and the
     suggestions (text, pos) in turn, history leading.  Suggested texts that history holds are dropped, five stay.
@@ -72,12 +94,12 @@ def interleave(history: DataFrame, suggestions: DataFrame, limit: int) -> DataFr
     return rows.select(F.row_number().over(one.orderBy("block", "at", "src")).alias("pos"), "text", (F.col("src") == 1).alias("library"))
 
 
-def search(docs: DataFrame, vectors: DataFrame, catalogue: DataFrame, catalogue_vectors: DataFrame, query: str, query_vector: list[float] | None, limit: int = 5, params: Params = Params(), where: Column | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+def search(docs: DataFrame, vectors: DataFrame, catalogue: DataFrame, catalogue_vectors: DataFrame, query: str, query_vector: list[float] | None, limit: int = 5, params: Params = Params(), where: Column | None = None, id: str = "doc_id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(pos, text, library): what a user sees.  A filter, or a missing query vector, leaves suggestions out.
 
     Ranks ids first and joins texts to the few that stay.
     """
-    top = rank(docs, vectors, query, query_vector, params, where, limit, id, text)
+    top = rank(docs, vectors, query, query_vector, params, where, limit, id, text, index)
     top = top.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")))
     named = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(top, "id")
     if where is not None or query_vector is None:

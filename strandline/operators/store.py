@@ -55,8 +55,23 @@ def recent(commands: DataFrame, limit: int) -> DataFrame:
 
 
 def find(commands: DataFrame, part: str, text: str = "text") -> DataFrame:
-    """Commands that hold ``part`` as it is: case counts, and nothing in it is a wildcard."""
-    return commands.where(F.contains(F.col(text), F.lit(part)))
+    """Commands that hold ``part`` as it is: case counts, and nothing in it is a wildcard.  The latest first, where times are known."""
+    found = commands.where(F.contains(F.col(text), F.lit(part)))
+    return found.orderBy(F.desc("last_seen"), F.desc("id")) if {"last_seen", "id"} <= set(commands.columns) else found
+
+
+def shown(rows: DataFrame, text: str = "text", limit: int = 10) -> DataFrame:
+    """(pos, line) of the first ``limit`` rows by ``pos``, and one line more that counts the rest, if there is any."""
+    line = F.concat(F.lit("  "), F.replace(F.col(text), F.lit("\n"), F.lit(" ↵ ")))
+    head = rows.where(F.col("pos") <= limit).select(F.col("pos").cast("long").alias("pos"), line.alias("line"))
+    rest = rows.agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return head.union(rest.select(F.lit(limit + 1).cast("long"), F.concat(F.lit("  …and "), (F.col("n") - limit).cast("string"), F.lit(" more"))))
+
+
+def shuffled(rows: DataFrame, seed: str, id: str = "id") -> DataFrame:
+    """Rows with their place ``pos`` in an order that depends on the seed and the ids alone."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string")))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key, id)))
 
 
 def stats(commands: DataFrame, executions: DataFrame) -> DataFrame:
@@ -80,10 +95,11 @@ def count_runs(executions: DataFrame, texts: DataFrame) -> DataFrame:
     return executions.join(texts.select("text").distinct(), "text", "left_semi").agg(F.count("*").alias("runs"))
 
 
-def pending(texts: DataFrame, embeddings: DataFrame, model_id: str, id: str = "id") -> DataFrame:
-    """Rows of ``texts`` without a vector of this model (a vector of another model does not count)."""
+def pending(texts: DataFrame, embeddings: DataFrame, model_id: str, id: str = "id", limit: int | None = None) -> DataFrame:
+    """Rows of ``texts`` without a vector of this model (a vector of another model does not count); the ``limit`` last seen, if given."""
     have = embeddings.where(F.col("model_id") == model_id).select(F.col("command_id").alias(id))
-    return texts.join(have, id, "left_anti")
+    rows = texts.join(have, id, "left_anti")
+    return rows if limit is None else rows.orderBy(F.desc("last_seen"), F.desc(id)).limit(limit)
 
 
 def save_embeddings(existing: DataFrame, new: DataFrame, commands: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +20,52 @@ def dot(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, score) of the k nearest, ties by id.  ``where`` narrows the candidates before the top list.
 
-    A query longer than the vectors is cut to their length.
+    A query longer than the vectors is cut to their length; an empty one finds nothing.
     """
     rows = vectors if where is None else vectors.where(where)
     q = F.array(*[F.lit(float(x)) for x in query])
     score = dot(F.slice(q, F.lit(1), F.size(vector)), F.col(vector))
-    return rows.where(F.size(vector) > 0).select(F.col(id), score.alias("score")).orderBy(F.desc("score"), id).limit(k)
+    return rows.where(F.size(vector) > 0).select(F.col(id), score.alias("score")).orderBy(F.desc("score"), id).limit(k if query else 0)
+
+
+def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+    """(query_id, id, rank, score) of the k nearest of every row of ``queries(query_id, vector)``, ties by id.
+
+    The queries are one matrix that every task holds, so there may be ``max_queries`` of them (more is an error);
+    a task multiplies it with its batches and keeps k per query of each.  Queries longer than the vectors are cut.
+    """
+    got = queries.select("query_id", "vector").where(F.size("vector") > 0).limit(max_queries + 1).toPandas()
+    if len(got) > max_queries:
+        raise ValueError(f"more than {max_queries} queries at once")
+    names, asked = got["query_id"].tolist(), [np.asarray(v, np.float64) for v in got["vector"]]
+
+    def run(batches):
+        for rows in batches:
+            lengths = rows["v"].map(len)
+            for dims in sorted(set(lengths)):
+                own = rows[lengths == dims].sort_values("id", kind="stable")
+                fits = [i for i, q in enumerate(asked) if len(q) >= dims]
+                if not fits:
+                    continue
+                scores = np.stack([asked[i][:dims] for i in fits]) @ np.stack(own["v"].to_numpy()).astype(np.float64).T
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                ids = own["id"].to_numpy()
+                yield pd.DataFrame({"q": np.repeat(fits, best.shape[1]), "id": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+
+    rows = vectors.where(F.size(vector) > 0).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    found = rows.mapInPandas(run, "q long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    found = found.withColumn("rank", place).where(F.col("rank") <= k)
+    kind = dict(queries.dtypes)["query_id"]
+    named = vectors.sparkSession.createDataFrame(list(enumerate(names)), f"q long, query_id {kind}")
+    return found.join(F.broadcast(named), "q").select("query_id", "id", "rank", "score")  # max_queries rows at most
+
+
+def mean_pool(rows: DataFrame, by: str, vector: str = "vector") -> DataFrame:
+    """(by, vector): the mean of each group's vectors, of unit length; sums per component combine before the shuffle."""
+    parts = rows.select(by, F.posexplode(vector).alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    whole = parts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p"))
+    return whole.select(by, normalise(F.transform("p", lambda s: s["x"])).alias("vector"))
 
 
 def normalise(vector: Column) -> Column:

@@ -36,9 +36,6 @@ _TRUTH = """d AS (SELECT source AS query_id, doc_id AS id, n_chars, doc_id IN (S
 x1 AS (SELECT * FROM (SELECT query_id, id, fits, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, id) AS rank FROM d) WHERE rank <= 50),
 x2 AS (SELECT * FROM (SELECT query_id, id, fits, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM d) WHERE rank <= 50)"""
 
-_LINES = """h AS (SELECT conv_id AS path, turn AS line_no, CASE WHEN turn % 3 = 1 THEN concat('#17000000', lpad(CAST(turn AS VARCHAR), 2, '0'))
-  ELSE string_split(coalesce(text, ''), chr(10))[1] END AS line FROM conversations)"""
-
 _WHOLE = "h AS (SELECT path, turn * 4294967296 + generate_subscripts(lines, 1) - 1 AS line_no, unnest(lines) AS line FROM t)"
 
 _SPACE = r"[\s\x0B\p{Z}]+"
@@ -76,6 +73,7 @@ ORACLE_SQL = {
     "keyword_or": _bm25("TRUE"),
     "keyword_filtered": _bm25("lang = 'fr'"),
     "keyword_index": _bm25("TRUE"),
+    "keyword_index_filtered": _bm25("lang = 'fr'"),
     "vector_topk": f"SELECT vec_id, round(score, 6) AS score FROM ({_nearest(0, 'TRUE', 10)})",
     "vector_topk_filtered": f"SELECT vec_id, round(score, 6) AS score FROM ({_nearest(0, 'label = 1', 10)})",
     "normalised_vectors": """SELECT vec_id, CAST(1.0 AS DOUBLE) AS norm,
@@ -98,24 +96,13 @@ ORACLE_SQL = {
         x AS (SELECT *, 'longest' AS ranker FROM x1 UNION ALL SELECT *, 'oldest' FROM x2 UNION ALL SELECT *, 'fused' FROM x3),
         m AS (SELECT ranker, query_id, min(rank) FILTER (WHERE fits AND rank <= 10) AS r FROM x GROUP BY ranker, query_id)
         SELECT ranker, round(top1, 9) AS top1, round(top5, 9) AS top5, round(mrr, 9) AS mrr FROM (SELECT ranker, {_SCORED} FROM m GROUP BY ranker)""",
-    "parse_history": rf"""WITH {_LINES}, g AS (SELECT *, regexp_full_match(line, '#[0-9]+') AS ts, count_if(regexp_full_match(line, '#[0-9]+')) OVER (PARTITION BY path ORDER BY line_no) AS entry FROM h),
-        timed AS (SELECT path, min(line_no) AS seq, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT ts) AS body, max(TRY_CAST(substr(line, 2) AS BIGINT)) FILTER (WHERE ts) AS stamp FROM g WHERE entry > 0 GROUP BY path, entry)
-        SELECT path, line_no AS seq, line AS command, CAST(NULL AS BIGINT) AS started_at FROM g WHERE entry = 0 AND trim(line) <> ''
-        UNION ALL SELECT path, seq, regexp_replace(body, '^([ \t\r\f]*\n)+', '') AS command, stamp * 1000 FROM timed WHERE trim(regexp_replace(coalesce(body, ''), '\s+', '', 'g')) <> ''""",
-    "parse_zsh_history": r"""WITH h AS (SELECT conv_id AS path, turn, string_split(coalesce(text, ''), chr(10))[1] AS t FROM conversations),
-        n AS (SELECT path, turn AS line_no, concat(CASE WHEN turn % 2 = 0 THEN concat(': 1700000000:', turn, ';') ELSE '' END, t, CASE WHEN turn % 4 = 2 THEN '\' ELSE '' END) AS line FROM h),
-        g AS (SELECT *, sum(CASE WHEN coalesce(prev, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY line_no) AS entry FROM (SELECT *, lag(suffix(line, '\')) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM n)),
-        j AS (SELECT path, min(line_no) AS seq, string_agg(CASE WHEN suffix(line, '\') THEN concat(line[:-2], chr(10)) ELSE line END, '' ORDER BY line_no) AS text FROM g GROUP BY path, entry)
-        SELECT * FROM (SELECT path, seq, CASE WHEN m THEN regexp_extract(text, '(?s)^: (-?[0-9]+):(-?[0-9]+);(.*)$', 3) ELSE text END AS command,
-          CASE WHEN m THEN 1700000000000 END AS started_at, CASE WHEN m THEN CAST(regexp_extract(text, '(?s)^: (-?[0-9]+):(-?[0-9]+);(.*)$', 2) AS BIGINT) * 1000 END AS duration_ms
-          FROM (SELECT *, regexp_matches(text, '(?s)^: (-?[0-9]+):(-?[0-9]+);(.*)$') AS m FROM j)) WHERE trim(regexp_replace(command, '\s+', '', 'g')) <> ''""",
-    "parse_history_whole": rf"""WITH t AS (SELECT conv_id AS path, turn, list_concat(CASE WHEN turn % 3 = 1 THEN [concat('#17000000', lpad(CAST(turn AS VARCHAR), 2, '0'))] ELSE [] END, string_split(coalesce(text, ''), chr(10))) AS lines FROM conversations),
+    "parse_history": rf"""WITH t AS (SELECT conv_id AS path, turn, list_concat(CASE WHEN turn % 3 = 1 THEN [concat('#17000000', lpad(CAST(turn AS VARCHAR), 2, '0'))] ELSE [] END, string_split(coalesce(text, ''), chr(10))) AS lines FROM conversations),
         {_WHOLE}, s AS (SELECT *, CASE WHEN regexp_full_match(line, '#[0-9]+') THEN TRY_CAST(substr(line, 2) AS BIGINT) END AS stamp FROM h),
         g AS (SELECT *, count(stamp) OVER (PARTITION BY path ORDER BY line_no) AS entry FROM s),
         timed AS (SELECT path, min(line_no) AS seq, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE stamp IS NULL) AS body, max(stamp) AS stamp FROM g WHERE entry > 0 GROUP BY path, entry)
         SELECT path, line_no AS seq, line AS command, CAST(NULL AS BIGINT) AS started_at FROM g WHERE entry = 0 AND regexp_replace(line, '{_SPACE}', '', 'g') <> ''
         UNION ALL SELECT path, seq, regexp_replace(body, '^([ \t\r\f]*\n)+', '') AS command, stamp * 1000 FROM timed WHERE regexp_replace(coalesce(body, ''), '{_SPACE}', '', 'g') <> ''""",
-    "parse_zsh_history_whole": rf"""WITH c AS (SELECT conv_id AS path, turn, coalesce(text, '') AS text FROM conversations),
+    "parse_zsh_history": rf"""WITH c AS (SELECT conv_id AS path, turn, coalesce(text, '') AS text FROM conversations),
         t AS (SELECT path, turn, string_split(concat(CASE WHEN turn % 2 = 0 THEN concat(': 1700000000:', turn, ';', replace(text, chr(10), '\' || chr(10))) ELSE text END, CASE WHEN turn % 4 = 2 THEN '\' ELSE '' END), chr(10)) AS lines FROM c),
         {_WHOLE}, g AS (SELECT *, sum(CASE WHEN coalesce(prev, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY line_no) AS entry FROM (SELECT *, lag(suffix(line, '\')) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM h)),
         j AS (SELECT path, min(line_no) AS seq, string_agg(CASE WHEN suffix(line, '\') THEN concat(line[:-2], chr(10)) ELSE line END, '' ORDER BY line_no) AS text FROM g GROUP BY path, entry),

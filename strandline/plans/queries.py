@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import display, epoch, redact
 from strandline.operators import evaluation, filters, fulltext, ranking, store, vectors
 from strandline.operators.filters import Filter
-from strandline.plans.shared import materialize, shared_dir, table
+from strandline.plans.shared import fresh_path, materialize, spread, table
 from strandline.sources.history import bash_entries, zsh_entries
 from strandline.sources.tables import EXECUTIONS_SQL, NOW_MS, executions_of
 from strandline.streaming import capture
@@ -31,9 +31,7 @@ def upsert_commands(spark, d):
 
 def stream_upsert(spark, d):
     """The same command table through a file stream in several micro-batches."""
-    import uuid
-
-    where = f"{shared_dir(spark)}/strandline/stream-{uuid.uuid4().hex}"
+    where = fresh_path(spark, "stream")
     source = table(spark, d, "events")
     source.repartition(4, "event_id").write.parquet(f"{where}/in")
     events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
@@ -146,16 +144,33 @@ def keyword_filtered(spark, d):
     return _keywords(spark, d, "or", F.col("lang") == "fr")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def document_index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(postings, stats) of the documents; written once an application and table, read by every search after that."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = fresh_path(spark, "index")
+        fulltext.write_index(table(spark, d, "documents"), path, partitions=8)
+        _INDEXES[key] = path
+    return fulltext.read_index(spark, _INDEXES[key])
+
+
 def keyword_index(spark, d):
     """The same search over a written index."""
-    where = f"{shared_dir(spark)}/strandline/index-{spark.sparkContext.applicationId}"
-    fulltext.write_index(table(spark, d, "documents"), where, partitions=8)
-    found = fulltext.search_index(spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/lengths"), "the thi", "or", 10)
-    return found.select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return fulltext.search_index(*document_index(spark, d), "the thi", "or", 10).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+def keyword_index_filtered(spark, d):
+    allowed = table(spark, d, "documents").where("lang = 'fr'").select("doc_id")
+    return fulltext.search_index(*document_index(spark, d), "the thi", "or", 10, allowed).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _query_vector(spark, d, vec_id=0) -> list[float]:
-    return list(table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
+    """Empty where there is no such row."""
+    found = table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()
+    return list(found["embedding"] or []) if found else []
 
 
 def vector_topk(spark, d):
@@ -172,7 +187,7 @@ def normalised_vectors(spark, d):
 
 
 def _rank(spark, d, params=ranking.Params("or"), where=None, limit=20):
-    return ranking.rank(table(spark, d, "documents"), table(spark, d, "embeddings"), "the thi", _query_vector(spark, d, 3), params, where, limit)
+    return ranking.rank(table(spark, d, "documents"), table(spark, d, "embeddings"), "the thi", _query_vector(spark, d, 3) or None, params, where, limit, index=document_index(spark, d))
 
 
 def rrf_fuse(spark, d):
@@ -183,7 +198,7 @@ def hybrid_search(spark, d):
     """What a user sees, with texts of ``benchmark`` as suggestions."""
     catalogue = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     known = table(spark, d, "embeddings").join(catalogue.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
-    return ranking.search(table(spark, d, "documents"), table(spark, d, "embeddings"), catalogue, known, "the thi", _query_vector(spark, d, 3), 12, ranking.Params("or"))
+    return ranking.search(table(spark, d, "documents"), table(spark, d, "embeddings"), catalogue, known, "the thi", _query_vector(spark, d, 3) or None, 12, ranking.Params("or"), index=document_index(spark, d))
 
 
 def library_dedup(spark, d):
@@ -227,25 +242,6 @@ def eval_grid(spark, d):
     return out.select("ranker", *[F.round(x, 9).alias(x) for x in _SHARES])
 
 
-def _history_lines(spark, d):
-    """Conversations as history files: every third turn is a time line, the others their text's first line."""
-    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    line = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("#17000000"), F.lpad(F.col("turn").cast("string"), 2, "0"))).otherwise(first)
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line_no"), line.alias("line"))
-
-
-def parse_history(spark, d):
-    return bash_entries(_history_lines(spark, d)).select("path", "seq", "command", "started_at")
-
-
-def parse_zsh_history(spark, d):
-    text = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    line = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(": 1700000000:"), F.col("turn").cast("string"), F.lit(";"), text)).otherwise(text)
-    line = F.when(F.col("turn") % 4 == 2, F.concat(line, F.lit("\\"))).otherwise(line)
-    lines = table(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line_no"), line.alias("line"))
-    return zsh_entries(lines).select("path", "seq", "command", "started_at", "duration_ms")
-
-
 def _whole_lines(texts, *before):
     """Lines of whole texts (path, turn, text): cut at line feeds only, numbered by turn and position, behind the lines ``before``."""
     lines = F.concat(*before, F.split("text", "\n"))
@@ -256,14 +252,14 @@ def _whole_texts(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("path"), "turn", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def parse_history_whole(spark, d):
+def parse_history(spark, d):
     """Conversations as bash histories: every line of every text, and a time line before the text of every third turn."""
     stamp = F.concat(F.lit("#17000000"), F.lpad(F.col("turn").cast("string"), 2, "0"))
     lines = _whole_lines(_whole_texts(spark, d), F.when(F.col("turn") % 3 == 1, F.array(stamp)).otherwise(F.array().cast("array<string>")))
     return bash_entries(lines).select("path", "seq", "command", "started_at")
 
 
-def parse_zsh_history_whole(spark, d):
+def parse_zsh_history(spark, d):
     """Conversations as zsh histories: a text of an even turn is one timed entry, its line feeds behind backslashes; lines of the others stand alone.
 
     Every second timed entry runs on into the next turn.
@@ -276,14 +272,14 @@ def parse_zsh_history_whole(spark, d):
 
 def scrub_env(spark, d):
     raw = F.concat(F.lit("  export API_TOKEN=tok"), F.col("event_id").cast("string"), F.lit(" && ./run "))
-    rows = table(spark, d, "events").select("event_id", redact.scrub(raw).alias("s"))
+    rows = spread(table(spark, d, "events")).select("event_id", redact.scrub(raw).alias("s"))
     return rows.select("event_id", F.col("s.text").alias("text"), F.col("s.redactions").alias("redactions"))
 
 
 def class_entropy(spark, d):
     """Shannon entropy of every long token of the documents."""
     found = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z0-9+/_=-]{20,}"), F.lit(0))
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("pos", "token"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(found).alias("pos", "token"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round(redact.entropy(F.col("token")), 6).alias("bits"))
 
 
@@ -332,8 +328,8 @@ QUERIES = {
     for f in (
         upsert_commands, stream_upsert, latest_execution, filter_dir, filter_session, filter_failed, recent_commands, hydrate_results, find_substring,
         stats_by_source, last_live_run, pending_embeddings, pending_count, save_embeddings, embedding_matrix, forget_cascade, forgotten_runs,
-        keyword_and, keyword_or, keyword_filtered, keyword_index, vector_topk, vector_topk_filtered, normalised_vectors, rrf_fuse, hybrid_search,
-        library_dedup, eval_metrics, eval_grid, parse_history, parse_zsh_history, parse_history_whole, parse_zsh_history_whole, scrub_env, class_entropy, relative_time, details_line, panel_rows,
+        keyword_and, keyword_or, keyword_filtered, keyword_index, keyword_index_filtered, vector_topk, vector_topk_filtered, normalised_vectors, rrf_fuse, hybrid_search,
+        library_dedup, eval_metrics, eval_grid, parse_history, parse_zsh_history, scrub_env, class_entropy, relative_time, details_line, panel_rows,
         epoch_times, git_roots, installed_tools, toy_ranker,
     )
 }

@@ -68,6 +68,12 @@ def release(*tables: DataFrame) -> None:
         fs.delete(where, True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as the session has cores, where they come in fewer (a file of one row group); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body (or a lambda in it) names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

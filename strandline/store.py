@@ -21,6 +21,7 @@ from strandline.operators import filters, ranking, store, vectors
 from strandline.operators.filters import Filter
 from strandline.operators.fulltext import keyword_search
 from strandline.operators.ranking import Params
+from strandline.plans.shared import materialize, release
 from strandline.sources.history import import_history, read_history
 
 _TABLES = {"executions": schemas.EXECUTIONS, "embeddings": schemas.EMBEDDINGS, "meta": schemas.META, "catalogue": f"id long, {schemas.CATALOGUE}, vector array<float>, model_id string"}
@@ -85,7 +86,7 @@ class Store:
         return self.add_batch(rows.where(F.length("text") > 0))
 
     def import_files(self, paths: list[str], shell: str, force: bool = False) -> int:
-        """History files that were not imported before; each is marked in the same breath."""
+        """History files that were not imported before; all are marked, in one write, behind the one that appends their entries."""
         return self.import_counted(paths, shell, force)["imported"]
 
     def import_counted(self, paths: list[str], shell: str, force: bool = False) -> dict[str, int]:
@@ -98,8 +99,9 @@ class Store:
         read, kept = Observation(), Observation()
         entries = read_history(self.spark, todo, shell).observe(read, F.count(F.lit(1)).alias("n"))
         n = self.add_batch(import_history(entries).observe(kept, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("redacted"), F.lit(0)).alias("redacted")))
-        for p in todo:
-            self.set_meta(f"imported:{p}", str(_now()))
+        marks = {f"imported:{p}": str(_now()) for p in todo}
+        new = self.spark.createDataFrame(list(marks.items()), "key string, value string")
+        self._replace("meta", self.table("meta").join(new.select("key"), "key", "left_anti").unionByName(new))
         return {"imported": n, "redacted": kept.get["redacted"], "skipped": read.get["n"] - kept.get["n"]}
 
     def forget(self, part: str) -> int:
@@ -117,15 +119,23 @@ class Store:
         """Suggestions with their vectors: (id, tool, requires, command, cursor, desc, vector, model_id)."""
         self._replace("catalogue", rows.select(*self.table("catalogue").columns))
 
-    def embed_pending(self, encoder: Callable[[list[str]], np.ndarray], model_id: str) -> int:
-        """Encode every command that has no vector of this model; returns how many there were."""
-        commands = self.commands().select("id", "text", "last_seen")
-        todo = store.pending(commands, self.table("embeddings"), model_id)
-        n = todo.count()
-        if n:
-            new = vectors.embed_distinct(todo, encoder, model_id)
-            self._replace("embeddings", store.save_embeddings(self.table("embeddings"), new, commands))
-        return n
+    def embed_pending(self, encoder: Callable[[list[str]], np.ndarray], model_id: str, batch: int = 100_000) -> int:
+        """Encode every command that has no vector of this model, the last seen first; returns how many there were.
+
+        Every ``batch`` is saved before the next is begun, so a failure loses one at most.
+        """
+        commands, done = materialize(self.commands().select("id", "text", "last_seen"), "commands"), 0
+        while True:
+            todo = materialize(store.pending(commands, self.table("embeddings"), model_id, limit=batch), "pending")
+            n = todo.count()
+            if n:
+                new = vectors.embed_distinct(todo, encoder, model_id)
+                self._replace("embeddings", store.save_embeddings(self.table("embeddings"), new, commands))
+            release(todo)
+            done += n
+            if n < batch:
+                release(commands)
+                return done
 
     # queries
 
