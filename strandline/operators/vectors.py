@@ -84,6 +84,14 @@ def from_half(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype("f4"))
 
 
+def half_rounding(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """One row (n, most): components, and the largest change that 16 bits make; a component beyond their range fails the job."""
+    parts = rows.select(F.posexplode(F.arrays_zip(F.col(vector).alias("a"), from_half(to_half(F.col(vector))).alias("b"))).alias("pos", "x"))
+    changed = F.abs(F.col("x.a").cast("double") - F.col("x.b").cast("double"))
+    fits = F.when(F.abs(F.col("x.a")) > 65504, F.raise_error(F.lit("a component is too large for 16 bits"))).otherwise(changed)
+    return parts.agg(F.count("*").alias("n"), F.max(fits).alias("most"))
+
+
 @F.pandas_udf(T.BinaryType())
 def to_bytes(vectors: pd.Series) -> pd.Series:
     """Vectors as little-endian 32-bit floats."""

@@ -19,9 +19,10 @@ from strandline.operators.ranking import CANDIDATES
 from strandline.plans import oracles
 from strandline.plans import queries as q
 from strandline.plans.shared import fresh_path, materialize, spread, table
-from strandline.sources import history, pages, tables
+from strandline.sources import history, pages, tables, tensors
 from strandline.sources.tables import NOW_MS
-from strandline.store import Store
+from strandline.store import Store, default_history, default_path
+from strandline.streaming import capture
 
 #: For every redaction rule and veto: a text, and what must be left of it, as SQL over the digits ``h`` (32 of base 16).
 SCRUB_CASES = (
@@ -58,7 +59,7 @@ SCRUB_CASES = (
     ("concat('tool --api-key ', h)", "'tool --api-key <REDACTED:secret-flag>'", 1),
     ("concat('API_TOKEN=', h, ' ./run')", "'API_TOKEN=<REDACTED:secret-env> ./run'", 1),
     ("concat('A_TOKEN=', h, ' B_SECRET=', h, ' x')", "'A_TOKEN=<REDACTED:secret-env> B_SECRET=<REDACTED:secret-env> x'", 2),
-    ("concat('echo ', translate(h, '0123456789abcdef', 'aB1cD2eF3gH4iJ5k'), translate(h, '0123456789abcdef', 'Z9yX8wV7uT6sR5qP'))", "'echo <REDACTED:high-entropy>'", 1),
+    ("concat('echo a1B2c3D4', substr(h, 1, 8), 'E5f6G7h8', substr(h, 9, 8), 'i9J0k1L2', substr(h, 17, 8), 'M3n4P5q6')", "'echo <REDACTED:high-entropy>'", 1),
     # spared: names that only speak of secrets, references, nothing at all, plain hexadecimal, a flag for a value
     ("concat('DB_PASSWORD_FILE=/x ls ', h)", "concat('DB_PASSWORD_FILE=/x ls ', h)", 0),
     ("concat('tool --password $PASS ', h)", "concat('tool --password $PASS ', h)", 0),
@@ -327,12 +328,53 @@ def store_drain(spark, d):
     return spark.createDataFrame([(n, home.table("embeddings").count(), home.embed_pending(_plain_encoder, "plain"), found)], "encoded long, stored long, again long, found long")
 
 
+def store_ids(spark, d):
+    """Ids that a store gives in two batches: without gaps, whatever the tasks."""
+    home = Store(spark, fresh_path(spark, "store"))
+    rows = table(spark, d, "events").select(F.concat(F.lit("ls "), "event_id").alias("text"), F.lit("live").alias("source"))
+    added = home.add_batch(rows.repartition(5)) + home.add_batch(rows.where("event_id % 3 = 0"))
+    return home.table("executions").agg(F.lit(added).cast("long").alias("added"), F.min("id").alias("first"), F.max("id").alias("last"), F.count_distinct("id").alias("n"))
+
+
+def capture_redacted(spark, d):
+    """Raw commands captured from a stream: private and empty ones dropped, secrets redacted, runs counted."""
+    where = fresh_path(spark, "capture")
+    table(spark, d, "events").selectExpr(f"{_LINE} AS raw", "event_id AS id", f"CAST({NOW_MS} - event_id AS BIGINT) AS started_at").repartition(3, "id").write.parquet(f"{where}/in")
+    raw = spark.readStream.schema("raw string, id long, started_at long").option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    capture.upsert_stream(capture.redacted_executions(raw), f"{where}/out", f"{where}/checkpoint", NOW_MS).awaitTermination()
+    capture.compact(spark, f"{where}/out", f"{where}/small")
+    return capture.current(spark, f"{where}/small").select("text", "run_count", "first_seen", "last_seen", "redacted")
+
+
+def half_rounding(spark, d):
+    return vectors.half_rounding(table(spark, d, "embeddings")).select("n", F.round("most", 9).alias("most"))
+
+
+#: The header of a tensor file with one vector of 64 components, and its length.
+_HEADER = '{"__metadata__":{"from":"sql"},"v":{"dtype":"F32","shape":[4,16],"data_offsets":[0,256]}}'
+
+
+def tensor_values(spark, d):
+    """Every vector as a tensor file, read again."""
+    size = F.unhex(F.lit(len(_HEADER).to_bytes(8, "little").hex()))
+    raw = F.concat(size, F.encode(F.lit(_HEADER), "UTF-8"), vectors.to_bytes(F.col("embedding")))
+    rows = table(spark, d, "embeddings").select("vec_id", F.explode(tensors.tensors(raw)).alias("t"))
+    return rows.select("vec_id", "t.name", F.array_join(F.transform("t.shape", lambda x: x.cast("string")), "x").alias("shape"), F.posexplode("t.data").alias("pos", "x"))
+
+
+def stored_strings(spark, d):
+    """Names that the store takes where nothing is said, for homes made of the tables."""
+    rows = [(r.home, default_path(r.home, {"XDG_DATA_HOME": r.data}), default_history("zsh", r.home, {})) for r in table(spark, d, "region").select(F.concat(F.lit("/home/"), F.lower("r_name")).alias("home"), F.when(F.col("r_regionkey") % 2 == 0, "/data").otherwise("data").alias("data")).collect()]
+    return spark.createDataFrame(rows, "home string, store string, history string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scrub_rules, ignored_commands, filter_presets, null_if_empty, unescaped_history, history_lines, valid_texts, catalogue_pages, eval_expected, eval_misses, recall_at_4, median_runs,
         search_many, topk_many, eval_rankers, rrf_unweighted, query_cut_to_length, half_floats, vector_bytes, embed_texts, mean_pooled, library_entries, word_pieces, shell_strings, sql_functions,
         pending_order, find_order, shown_lines, seeded_order, meta_values, import_counts, store_drain,
+        store_ids, capture_redacted, half_rounding, tensor_values, stored_strings,
     )
 }
 
@@ -406,5 +448,13 @@ ORACLE_SQL = {
     "meta_values": "SELECT * FROM (VALUES ('b', '2', 1), ('a', '3', 1), ('schema_version', '1', 1)) AS m(key, value, version)",
     "import_counts": f"""WITH x AS (SELECT event_id, {_LINE} AS line FROM events) SELECT count_if(event_id % 4 >= 2)::BIGINT AS imported, count_if(event_id % 4 = 2)::BIGINT AS redacted, count_if(event_id % 4 = 0)::BIGINT AS skipped, CAST(0 AS BIGINT) AS again,
         count(DISTINCT CASE WHEN event_id % 4 = 3 THEN line WHEN event_id % 4 = 2 THEN 'API_TOKEN' END) AS commands FROM x""",
+    "store_ids": "SELECT n AS added, CAST(0 AS BIGINT) AS first, n - 1 AS last, n FROM (SELECT CAST(count(*) + count_if(event_id % 3 = 0) AS BIGINT) AS n FROM events)",
+    "capture_redacted": f"""SELECT text, count(*) AS run_count, min({NOW_MS} - event_id) AS first_seen, max({NOW_MS} - event_id) AS last_seen, CAST(CASE WHEN starts_with(text, 'ls') THEN 0 ELSE 1 END AS INTEGER) AS redacted
+        FROM (SELECT event_id, CASE WHEN event_id % 4 = 2 THEN 'API_TOKEN=<REDACTED:secret-env> run' ELSE concat('ls ', event_id % 50) END AS text FROM events WHERE event_id % 4 >= 2) GROUP BY text""",
+    "half_rounding": """WITH x AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT x, pow(2::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10) AS step FROM x WHERE x <> 0)
+        SELECT (SELECT count(*) FROM x) AS n, round(max(abs(x - round_even(x / step, 0) * step)), 9) AS most FROM s""",
+    "tensor_values": "SELECT vec_id, 'v' AS name, '4x16' AS shape, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings",
+    "stored_strings": """SELECT home, concat(CASE WHEN r_regionkey % 2 = 0 THEN '/data' ELSE concat(home, '/.local/share') END, '/strandline/store') AS store, concat(home, '/.zsh_history') AS history
+        FROM (SELECT r_regionkey, concat('/home/', lower(r_name)) AS home FROM region)""",
     "store_drain": f"""WITH {_E}, c AS (SELECT DISTINCT text FROM e WHERE source <> 'import') SELECT count(*) AS encoded, count(*) AS stored, CAST(0 AS BIGINT) AS again, count_if(regexp_matches(text, ' --user 7[0-9]*$'))::BIGINT AS found FROM c""",
 }

@@ -45,6 +45,13 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(where)
 
 
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copy one file, between any two file systems that Hadoop knows; its folder is made."""
+    (a, fs_a), (b, fs_b) = _hadoop(spark, source), _hadoop(spark, target)
+    fs_b.mkdirs(b.getParent())
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs_a, a, fs_b, b, False, spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.epoch import valid_utf8
+from strandline.plans.shared import copy_file, fresh_path
 
 
 def _stamp(line: Column) -> Column:
@@ -90,9 +91,25 @@ def unmetafy(raw: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else plain(bytes(b)) for b in raw], dtype=object)
 
 
+def _read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content).  Spark skips files whose names begin with a dot or an underscore, as history files' do: such
+    files are copied under plain names first, and keep the path that was asked for."""
+    hidden = [p for p in paths if p.rstrip("/").rsplit("/", 1)[-1][:1] in (".", "_")]
+    files = [spark.read.format("binaryFile").load(p) for p in [[p for p in paths if p not in hidden]] if p]
+    if hidden:
+        names, folder = {}, fresh_path(spark, "history-files")
+        for k, p in enumerate(hidden):
+            copy_file(spark, p, f"{folder}/file-{k}")
+            names[f"file-{k}"] = p
+        asked = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        files.append(spark.read.format("binaryFile").load(folder).withColumn("path", asked[F.substring_index("path", "/", -1)]))
+    out = files[0].select("path", "content")
+    return out if len(files) == 1 else out.union(files[1].select("path", "content"))
+
+
 def file_lines(spark: SparkSession, paths: list[str], zsh: bool = False) -> DataFrame:
     """(path, line_no, line) of history files; one line feed, then one carriage return, is cut off each line."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    files = _read_files(spark, paths)
     body = unmetafy("content") if zsh else F.col("content")
     text = F.regexp_replace(valid_utf8(body), r"\n\z", "")  # a last line feed ends a line and starts none
     lines = files.select("path", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))

@@ -73,11 +73,19 @@ class Store:
         types = dict(self.table("executions").dtypes)
         rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(0 if c == "redacted" else None)).cast(types[c]).alias(c) for c in wanted])
         last = self.table("executions").agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-        rows = schemas.checked_executions(rows).withColumn("id", F.monotonically_increasing_id() + last + 1)
+        rows = materialize(schemas.checked_executions(rows).withColumn("__at", F.monotonically_increasing_id()), "batch")
+        # ids without gaps: a row's place in its task behind the rows of the tasks before (one number a task)
+        task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+        counts = {r.task: r.n for r in rows.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect()}
+        before, n = [], last + 1
+        for t in sorted(counts):
+            before.append((t, n))
+            n += counts[t]
+        starts = self.spark.createDataFrame(before, "__task long, __start long")
+        rows = rows.join(F.broadcast(starts), task == F.col("__task")).withColumn("id", F.col("__start") + place)
         have = self._versions("executions")
-        rows = rows.select(*types)
-        rows.write.mode("append").parquet(f"{self.path}/executions/{have[-1] if have else 0}")
-        return self.table("executions").where(F.col("id") > last).count()
+        rows.select(*types).write.mode("append").parquet(f"{self.path}/executions/{have[-1] if have else 0}")
+        return n - last - 1
 
     def add(self, raw: str, source: str = "manual", **details) -> int:
         """One command; a private or empty one is silently left out."""
@@ -89,6 +97,16 @@ class Store:
         """History files that were not imported before; all are marked, in one write, behind the one that appends their entries."""
         return self.import_counted(paths, shell, force)["imported"]
 
+    def import_default(self, shell: str, home: str, env: dict[str, str] | None = None, force: bool = False) -> dict[str, int]:
+        """``import_counted`` of the shell's own history file.  One that does not exist yet is marked all the same: what
+        the shell writes into it later has been captured live."""
+        path = default_history(shell, home, env or {})
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return self.import_counted([path], shell, force)
+        self._mark([path])
+        return {"imported": 0, "redacted": 0, "skipped": 0}
+
     def import_counted(self, paths: list[str], shell: str, force: bool = False) -> dict[str, int]:
         """``import_files`` with its counts: entries imported, secrets redacted in them, entries skipped as private or empty."""
         files = self.spark.createDataFrame([(p,) for p in paths], "path string")
@@ -99,11 +117,13 @@ class Store:
         read, kept = Observation(), Observation()
         entries = read_history(self.spark, todo, shell).observe(read, F.count(F.lit(1)).alias("n"))
         n = self.add_batch(import_history(entries).observe(kept, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("redacted"), F.lit(0)).alias("redacted")))
-        marks = {f"imported:{p}": str(_now()) for p in todo}
-        new = self.spark.createDataFrame(list(marks.items()), "key string, value string")
-        self._replace("meta", self.table("meta").join(new.select("key"), "key", "left_anti").unionByName(new))
+        self._mark(todo)
         return {"imported": n, "redacted": kept.get["redacted"], "skipped": read.get["n"] - kept.get["n"]}
 
+    def _mark(self, paths: list[str]) -> None:
+        new = self.spark.createDataFrame([(f"imported:{p}", str(_now())) for p in paths], "key string, value string")
+        self._replace("meta", self.table("meta").join(new.select("key"), "key", "left_anti").unionByName(new))
+
     def forget(self, part: str) -> int:
         """Delete all commands that hold ``part``, with their runs and vectors; returns the number of runs."""
         commands = self.commands()
@@ -116,8 +136,15 @@ class Store:
         return runs
 
     def set_catalogue(self, rows: DataFrame) -> None:
-        """Suggestions with their vectors: (id, tool, requires, command, cursor, desc, vector, model_id)."""
-        self._replace("catalogue", rows.select(*self.table("catalogue").columns))
+        """Suggestions with their vectors: (id, tool, requires, command, cursor, desc, vector, model_id).
+
+        Vectors of one model that differ in length, or hold nothing, are refused, and the catalogue stays as it was.
+        """
+        rows = materialize(rows.select(*self.table("catalogue").columns), "catalogue")
+        odd = rows.groupBy("model_id").agg(F.min(F.coalesce(F.size("vector"), F.lit(0))).alias("a"), F.max(F.coalesce(F.size("vector"), F.lit(0))).alias("b")).where("a <> b OR a < 1")
+        if odd.limit(1).count():
+            raise ValueError("vectors of the catalogue differ in length")
+        self._replace("catalogue", rows)
 
     def embed_pending(self, encoder: Callable[[list[str]], np.ndarray], model_id: str, batch: int = 100_000) -> int:
         """Encode every command that has no vector of this model, the last seen first; returns how many there were.
@@ -177,5 +204,18 @@ class Store:
         return store.stats(self.commands(), self.table("executions")).join(store.last_live_run(self.table("executions"))).join(waiting)
 
 
+def default_path(home: str, env: dict[str, str]) -> str:
+    """Where a store lies if nothing else is said; a relative data folder is ignored."""
+    if env.get("STRANDLINE_STORE"):
+        return env["STRANDLINE_STORE"]
+    data = env.get("XDG_DATA_HOME", "")
+    return f"{data if data.startswith('/') else home.rstrip('/') + '/.local/share'}/strandline/store"
+
+
+def default_history(shell: str, home: str, env: dict[str, str]) -> str:
+    """The history file of a shell."""
+    return env.get("HISTFILE") or f"{home.rstrip('/')}/.{shell}_history"
+
+
 def _now() -> int:
     return int(time.time() * 1000)
