@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.components import components
+from strandline.llm.components import components
 from strandline.plans.shared import materialize, release
 
 SEED = 42
