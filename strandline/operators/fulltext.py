@@ -146,22 +146,32 @@ def search_index(terms: DataFrame, stats: DataFrame, query: str, mode: str = "an
     return rows.select("doc_id", score.alias("bm25")).orderBy("bm25", "doc_id").limit(limit)
 
 
-def search_many(terms: DataFrame, stats: DataFrame, queries: DataFrame, mode: str = "and", limit: int = 50) -> DataFrame:
-    """(query_id, id, rank, bm25): the best documents of every row of ``queries(query_id, query)``, by joins.
+def score_many(terms: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, bm25, whole) of every document that holds a word of a row of ``queries(query_id, query)``;
+    ``whole`` marks those that hold all of its words.
 
     Query words meet the distinct terms by prefix in an equi-join (a term is spread into its beginnings, up to
     the longest query word), and those terms meet the postings.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    asked = materialize(asked, "query-words")
+    asked = materialize(asked.withColumn("n_words", F.count("*").over(Window.partitionBy("query_id"))), "query-words")
     longest = asked.agg(F.coalesce(F.max(F.length("word")), F.lit(1))).first()[0]
     starts = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest))), lambda k: F.substring("term", F.lit(1), k))
     matched = terms.select("term").distinct().select("term", F.explode(starts).alias("word")).join(asked.select("word").distinct(), "word")
     hits = materialize(terms.join(matched, "term").groupBy("word", "doc_id").agg(F.sum("tf").alias("f"), F.max("len").alias("len")), "query-hits")
     rows = asked.join(hits, "word").join(hits.groupBy("word").agg(F.count("*").alias("df")), "word").join(F.broadcast(stats))  # one row
     share = F.col("times") * _share(F.col("f"), F.col("len"), _weight(F.col("n"), F.col("df")), F.col("n"), F.col("total"))
-    rows = rows.groupBy("query_id", "doc_id").agg(F.sum(share).alias("bm25"), F.count("*").alias("found"))
-    if mode == "and":
-        rows = rows.join(asked.groupBy("query_id").agg(F.count("*").alias("found")), ["query_id", "found"], "left_semi")
+    rows = rows.groupBy("query_id", "doc_id").agg(F.sum(share).alias("bm25"), (F.count("*") == F.max("n_words")).alias("whole"))
+    return rows
+
+
+def best_of(scored: DataFrame, mode: str = "and", limit: int = 50) -> DataFrame:
+    """(query_id, id, rank, bm25): the best rows of ``score_many``, of whole matches or of any."""
+    rows = scored.where("whole") if mode == "and" else scored
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "doc_id"))
     return rows.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", F.col("doc_id").alias("id"), "rank", "bm25")
+
+
+def search_many(terms: DataFrame, stats: DataFrame, queries: DataFrame, mode: str = "and", limit: int = 50) -> DataFrame:
+    """(query_id, id, rank, bm25): the best documents of every row of ``queries(query_id, query)``, as ``keyword_search`` finds them one by one."""
+    return best_of(score_many(terms, stats, queries), mode, limit)

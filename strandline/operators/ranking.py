@@ -84,14 +84,13 @@ def interleave(history: DataFrame, suggestions: DataFrame, limit: int) -> DataFr
     """(pos, text, library): keyword matches of ``history(text, pos, keyword)`` first, then the rest of it and the
     suggestions (text, pos) in turn, history leading.  Suggested texts that history holds are dropped, five stay.
     """
-    one = Window.partitionBy(F.lit(0))
-    fresh = suggestions.join(history.select("text").distinct(), "text", "left_anti")
-    fresh = fresh.withColumn("at", F.row_number().over(one.orderBy("pos"))).where(F.col("at") <= SUGGESTIONS)
-    first = history.where("keyword").select(F.lit(0).alias("block"), F.col("pos").alias("at"), F.lit(0).alias("src"), "text")
-    rest = history.where("not keyword").select(F.lit(1).alias("block"), F.row_number().over(one.orderBy("pos")).alias("at"), F.lit(0).alias("src"), "text")
-    more = fresh.select(F.lit(1).alias("block"), "at", F.lit(1).alias("src"), "text")
-    rows = first.union(rest).union(more).orderBy("block", "at", "src").limit(limit)
-    return rows.select(F.row_number().over(one.orderBy("block", "at", "src")).alias("pos"), "text", (F.col("src") == 1).alias("library"))
+    # one pass over both lists, each of them a result page: every part of it reads its source once
+    rows = history.select("text", "pos", "keyword", F.lit(0).alias("src")).union(suggestions.select("text", "pos", F.lit(False), F.lit(1)))
+    held = F.min("src").over(Window.partitionBy("text")) == 0
+    rows = rows.withColumn("held", held).where("src = 0 or not held").withColumn("block", F.when(F.col("keyword"), 0).otherwise(1))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("block", "src").orderBy("pos"))).where(f"src = 0 or at <= {SUGGESTIONS}")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("block", "at", "src"))
+    return rows.withColumn("pos", place).where(F.col("pos") <= limit).select("pos", "text", (F.col("src") == 1).alias("library"))
 
 
 def search(docs: DataFrame, vectors: DataFrame, catalogue: DataFrame, catalogue_vectors: DataFrame, query: str, query_vector: list[float] | None, limit: int = 5, params: Params = Params(), where: Column | None = None, id: str = "doc_id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

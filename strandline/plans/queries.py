@@ -167,14 +167,15 @@ def keyword_index_filtered(spark, d):
     return fulltext.search_index(*document_index(spark, d), "the thi", "or", 10, allowed).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
-def _query_vector(spark, d, vec_id=0) -> list[float]:
+def _query_vector(spark, d, vec_id=0, among: DataFrame | None = None) -> list[float]:
     """Empty where there is no such row."""
-    found = table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()
+    found = (among or table(spark, d, "embeddings")).where(F.col("vec_id") == vec_id).select("embedding").first()
     return list(found["embedding"] or []) if found else []
 
 
 def vector_topk(spark, d):
-    return vectors.top_k(table(spark, d, "embeddings"), _query_vector(spark, d), 10).select("vec_id", F.round("score", 6).alias("score"))
+    rows = table(spark, d, "embeddings")
+    return vectors.top_k(rows, _query_vector(spark, d, among=rows), 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
 def vector_topk_filtered(spark, d):
@@ -187,7 +188,8 @@ def normalised_vectors(spark, d):
 
 
 def _rank(spark, d, params=ranking.Params("or"), where=None, limit=20):
-    return ranking.rank(table(spark, d, "documents"), table(spark, d, "embeddings"), "the thi", _query_vector(spark, d, 3) or None, params, where, limit, index=document_index(spark, d))
+    rows = table(spark, d, "embeddings")
+    return ranking.rank(table(spark, d, "documents"), rows, "the thi", _query_vector(spark, d, 3, rows) or None, params, where, limit, index=document_index(spark, d))
 
 
 def rrf_fuse(spark, d):
@@ -197,8 +199,9 @@ def rrf_fuse(spark, d):
 def hybrid_search(spark, d):
     """What a user sees, with texts of ``benchmark`` as suggestions."""
     catalogue = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    known = table(spark, d, "embeddings").join(catalogue.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
-    return ranking.search(table(spark, d, "documents"), table(spark, d, "embeddings"), catalogue, known, "the thi", _query_vector(spark, d, 3) or None, 12, ranking.Params("or"), index=document_index(spark, d))
+    rows = table(spark, d, "embeddings")
+    known = rows.join(catalogue.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    return ranking.search(table(spark, d, "documents"), rows, catalogue, known, "the thi", _query_vector(spark, d, 3, rows) or None, 12, ranking.Params("or"), index=document_index(spark, d))
 
 
 def library_dedup(spark, d):

@@ -127,6 +127,21 @@ def test_index_scan_prunes(spark, tmp_path):
     assert [r.doc_id for r in fulltext.search_index(terms, lengths, "docker", limit=5).collect()] == [r.doc_id for r in fulltext.keyword_search(docs, "docker", limit=5).collect()]
 
 
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strandline.plans.shared import shared_dir
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: named), sparkContext=context)
+
+    assert shared_dir(session("spark://x:7077", "hdfs://y/z/")) == "hdfs://y/z" and shared_dir(session("local[2]")).startswith("file://")
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+
+
 def test_scripts_fold_alike(spark):
     """A word of a document finds it, whatever its script, composed or not."""
     texts = ["한국어 문서 검색", "データベースが大きい", "ガギグ パピプ", "Straße und Größe", "naïve cafe\u0301", "Ελληνικά άλφα", "йод ёлка", "日本語 の 本"]
