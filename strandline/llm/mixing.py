@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.text import SPACES, words
-from strandline.plans.shared import let, materialize
+from strandline.plans.shared import let, materialize, release
 
 #: Multipliers of the block permutations, all prime; of any three, one at least does not divide a stream's length.
 PRIMES = (2654435761, 4294967291, 2147483647)
@@ -168,11 +168,12 @@ def _key(id: str, source: str) -> Column:
     return F.xxhash64(F.col(id).cast("long"), F.col(id).isNull(), F.col(source), F.col(source).isNull())
 
 
-def place(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, block_words: int = 1024, buckets_log2: int = 10, shards_log2: int = 4) -> DataFrame:
+def _place(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, block_words: int = 1024, buckets_log2: int = 10, shards_log2: int = 4) -> tuple[DataFrame, list[DataFrame]]:
     """Every row's place in its source's stream, with the source's plan: (id, key, th, source, size, offset, rank, ...).
 
     Prefix sums run within ranges of the hashed order (2**buckets_log2 of them a source), then over the
-    ranges, so that a source with a third of all rows is spread over that many windows.
+    ranges, so that a source with a third of all rows is spread over that many windows.  Also the tables that
+    this reads, to be deleted once it is written.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     th = F.xxhash64(body)
@@ -180,6 +181,7 @@ def place(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.coalesce(F.col("id"), F.lit(-1)), F.col("th")))
     rows = materialize(rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - buckets_log2).cast("int")), "sizes")
     plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words), "targets")
+    made = [rows, plan]
     plan = plan.join(shard_quotas(plan, shards_log2, seed), "rank").drop("weight", "passes", "extra")
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -189,7 +191,7 @@ def place(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     own = Window.partitionBy("source", "bucket").orderBy("h", F.asc_nulls_first("id"), "th").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("local", F.coalesce(F.sum("size").over(own), F.lit(0)))
     out = rows.join(ranges, rows["source"].eqNullSafe(F.col("r_source")) & (rows["bucket"] == F.col("r_bucket")))
-    return out.withColumn("offset", F.col("base") + F.col("local")).drop("r_source", "r_bucket", "base", "local", "h", "bucket")
+    return out.withColumn("offset", F.col("base") + F.col("local")).drop("r_source", "r_bucket", "base", "local", "h", "bucket"), made
 
 
 def _permuted(block: Column, n_blocks: Column, passes: Column, key: Column) -> Column:
@@ -232,7 +234,9 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     partitioned.  A very long text spans many blocks; an empty table gives empty results; other columns
     are not read.
     """
-    placed = materialize(place(docs, id, text, source, seed, **sizes), "placed")
+    rows, made = _place(docs, id, text, source, seed, **sizes)
+    placed = materialize(rows, "placed")
+    release(*made)
     return placed, draws(placed, seed)
 
 

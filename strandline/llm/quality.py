@@ -102,15 +102,16 @@ def metrics(text: Column, stop_words: str = STOP_WORDS, window: int = WINDOW) ->
     )
 
 
-def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, stop_words: str = STOP_WORDS) -> DataFrame:
     """``docs`` with the base figures, every ratio, ``base_failed``, ``failed_rules`` and ``kept``.
 
-    One projection, no shuffle, no Python.  Null and empty texts have no words and fail the base rule;
+    One projection, no shuffle, no Python.  ``stop_words`` are those of four languages: for texts in others give
+    their own, or rules without ``stop_ratio``, which rejects a longer text that holds none of them.  Null and empty texts have no words and fail the base rule;
     very long texts cost time in proportion to n log n of their words; ties and repeated rows are
     judged row by row; an empty table gives an empty result.  Input columns named like an output
     column are replaced.
     """
-    out = docs.withColumn("__m", metrics(F.col(text)))
+    out = docs.withColumn("__m", metrics(F.col(text), stop_words))
     m = lambda x: F.col(f"__m.{x}")
     flat = {x: m(f"w.{x}") for x in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")}
     flat |= {x: m(f"l.{x}") for x in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}

@@ -155,4 +155,5 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     out = marked.join(gone, ["__th", "__row"], "left_anti")
     if rows.join(kept, ["__th", "__row"]).count() > kept.count():  # a row that stays is repeated in all columns
         out = out.dropDuplicates(["__th", "__row"])
+    release(rows, first)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
