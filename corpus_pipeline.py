@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, simhash, spm, substrings, toxicity
-from strandline.plans.shared import materialize, table
+from strandline.plans.shared import materialize, release, table
 
 
 def _aside(docs: DataFrame, *made: str) -> tuple[DataFrame, list[Column]]:
@@ -91,8 +91,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each one's rows written and read again before the next, and then deleted."""
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
