@@ -58,8 +58,8 @@ def _score(counts: list[Column], length: Column, idfs: list[float], average: flo
     return -reduce(lambda a, b: a + b, [F.lit(i) * c * (K1 + 1) / (c + norm) for i, c in zip(idfs, counts)])
 
 
-def keyword_search(docs: DataFrame, query: str, mode: str = "and", where: Column | None = None, limit: int = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, bm25) of the best documents, lower being better, ties by id.
+def keyword_search(docs: DataFrame, query: str, mode: str = "and", where: Column | None = None, limit: int | None = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, bm25) of the best documents, lower being better, ties by id; of all that match, if ``limit`` is None.
 
     ``where`` narrows what is returned, before the limit, but not the corpus that the weights come from.
     A word matches every token that it begins; a word given twice counts twice.  No words: no rows.
@@ -81,7 +81,8 @@ def keyword_search(docs: DataFrame, query: str, mode: str = "and", where: Column
     hit = [F.col(names[w]) > 0 for w in names]
     rows = rows.where(reduce(lambda a, b: a & b if mode == "and" else a | b, hit)).where("__ok")
     score = _score([F.col(names[w]).cast("double") for w in words], F.col("__len"), idfs, average)
-    return rows.select(F.col("__id").alias(id), score.alias("bm25")).orderBy("bm25", id).limit(limit)
+    rows = rows.select(F.col("__id").alias(id), score.alias("bm25")).orderBy("bm25", id)
+    return rows if limit is None else rows.limit(limit)
 
 
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

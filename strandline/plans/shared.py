@@ -75,6 +75,22 @@ def release(*tables: DataFrame) -> None:
         fs.delete(where, True)
 
 
+def numbered(rows: DataFrame, column: str, first: int, name: str) -> tuple[DataFrame, int]:
+    """``rows``, written, with ``column``: numbers from ``first`` without gaps, in the order of the rows; and how many there are.
+
+    A number is a row's place in its task behind the rows of the tasks before (one number a task).
+    """
+    rows = materialize(rows.withColumn("__at", F.monotonically_increasing_id()), name)
+    task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r.task: r.n for r in rows.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect()}
+    before, n = [], first
+    for t in sorted(counts):
+        before.append((t, n))
+        n += counts[t]
+    starts = rows.sparkSession.createDataFrame(before, "__task long, __start long")
+    return rows.join(F.broadcast(starts), task == F.col("__task")).withColumn(column, F.col("__start") + place).drop("__at", "__task", "__start"), n - first
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over as many tasks as the session has cores, where they come in fewer (a file of one row group); else as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

@@ -21,7 +21,7 @@ from strandline.operators import filters, ranking, store, vectors
 from strandline.operators.filters import Filter
 from strandline.operators.fulltext import keyword_search
 from strandline.operators.ranking import Params
-from strandline.plans.shared import materialize, release
+from strandline.plans.shared import materialize, numbered, release
 from strandline.sources.history import import_history, read_history
 
 _TABLES = {"executions": schemas.EXECUTIONS, "embeddings": schemas.EMBEDDINGS, "meta": schemas.META, "catalogue": f"id long, {schemas.CATALOGUE}, vector array<float>, model_id string"}
@@ -73,19 +73,10 @@ class Store:
         types = dict(self.table("executions").dtypes)
         rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(0 if c == "redacted" else None)).cast(types[c]).alias(c) for c in wanted])
         last = self.table("executions").agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-        rows = materialize(schemas.checked_executions(rows).withColumn("__at", F.monotonically_increasing_id()), "batch")
-        # ids without gaps: a row's place in its task behind the rows of the tasks before (one number a task)
-        task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-        counts = {r.task: r.n for r in rows.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect()}
-        before, n = [], last + 1
-        for t in sorted(counts):
-            before.append((t, n))
-            n += counts[t]
-        starts = self.spark.createDataFrame(before, "__task long, __start long")
-        rows = rows.join(F.broadcast(starts), task == F.col("__task")).withColumn("id", F.col("__start") + place)
+        rows, n = numbered(schemas.checked_executions(rows), "id", last + 1, "batch")
         have = self._versions("executions")
         rows.select(*types).write.mode("append").parquet(f"{self.path}/executions/{have[-1] if have else 0}")
-        return n - last - 1
+        return n
 
     def add(self, raw: str, source: str = "manual", **details) -> int:
         """One command; a private or empty one is silently left out."""
@@ -169,12 +160,15 @@ class Store:
     def _texts(self, f: Filter) -> DataFrame:
         return filters.apply(self.commands(), self.table("executions"), f)
 
-    def keyword(self, query: str, limit: int = 50, mode: str = "and", f: Filter = Filter()) -> DataFrame:
-        """(pos, text, ...) of the best keyword matches; weights come from all commands, whatever the filter."""
+    def keyword(self, query: str, limit: int | None = 50, mode: str = "and", f: Filter = Filter()) -> DataFrame:
+        """(pos, text, ...) of the best keyword matches, of all without a limit; weights come from all commands, whatever the filter."""
         commands = self.commands()
         marked = commands if f.is_zero else commands.join(self._texts(f).select("text", F.lit(True).alias("ok")), "text", "left")
         found = keyword_search(marked, query, mode, None if f.is_zero else F.col("ok"), limit, "id")
-        ids = ranking.ranked(found, F.asc("bm25"), F.asc("id")).withColumnRenamed("rank", "pos")
+        if limit is None:
+            ids, _ = numbered(found, "pos", 1, "matches-in-order")  # no single task sees them all
+        else:
+            ids = ranking.ranked(found, F.asc("bm25"), F.asc("id")).withColumnRenamed("rank", "pos")
         return store.hydrate(commands, self.table("executions"), ids)
 
     def recent(self, limit: int = 50, f: Filter = Filter()) -> DataFrame:

@@ -1,11 +1,13 @@
 """The store from first command to last, and the functions under their SQL names."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions.register import register
 from strandline.operators.filters import Filter
+from strandline.plans import parts
 from strandline.sources.tensors import parse_tensors, read_tensors
 from strandline.store import Store, default_path
 
@@ -48,6 +50,21 @@ def test_life_of_a_store(spark, tmp_path):
     assert b"docker ps" in raw and b"git status" not in raw and b"hunter2" not in raw
 
 
+def test_keyword_search_of_a_store_without_a_limit(spark, tmp_path):
+    """Every match, in order, however many there are; with a limit, the first of them."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, CASE WHEN i % 6 = 0 THEN 8 ELSE 7000 + i END AS user_id, 'click' AS event_type, 0.5::DOUBLE AS value, '{}' AS props FROM range(900) t(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = con.execute(parts.ORACLE_SQL["store_drain"]).fetchone()
+    assert want[3] > 500
+    assert tuple(parts.store_drain(spark, f"file://{tmp_path}").first()) == want
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.add_batch(spark.createDataFrame([("git log" + " -v" * (i % 3) if i % 5 else "ls", "live", i) for i in range(40)], "text string, source string, started_at long"))
+    every, some = s.keyword("git", limit=None).collect(), s.keyword("git", 2).collect()
+    assert [r.pos for r in every] == [1, 2, 3] and [r.text for r in every] == ["git log", "git log -v", "git log -v -v"]
+    assert some == every[:2] and s.keyword("", limit=None).count() == 0 and s.keyword("none", limit=None).count() == 0
+
+
 def test_defaults_and_refusals(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/store")
     home = f"file://{tmp_path}"
