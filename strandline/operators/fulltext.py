@@ -9,11 +9,15 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import queryset
 from strandline.plans.shared import materialize, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -173,6 +177,31 @@ def best_of(scored: DataFrame, mode: str = "and", limit: int = 50) -> DataFrame:
     return rows.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", F.col("doc_id").alias("id"), "rank", "bm25")
 
 
+def _search_set(make_tiles: Callable[[list[str]], DataFrame], stats: DataFrame | None, queries: DataFrame, modes: tuple[str, ...], limit: int) -> DataFrame:
+    """(mode, query_id, id, rank, bm25) over tiles made for the queries' words; corpus figures are the tiles' own, if none are given."""
+    got = queries.select("query_id", tokens(F.col("query")).alias("words")).collect()
+    words = sorted({w for r in got for w in r.words})
+    number, asked, names = {w: i for i, w in enumerate(words)}, {}, []
+    for r in got:  # queries of the same words are one
+        if r.words:
+            names.append((r.query_id, asked.setdefault(tuple(sorted(Counter(number[w] for w in r.words).items())), len(asked))))
+    tiles = materialize(make_tiles(words), "tiles")
+    n, total = (tiles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))) if stats is None else stats.select("n", "total")).first()
+    dfs = tiles.select(F.explode(F.arrays_zip("words", "sizes")).alias("x")).groupBy("x.words").agg(F.sum("x.sizes").alias("df")).collect()
+    weights = np.zeros(len(words))
+    for r in dfs:
+        weights[r.words] = _idf(n, r.df)
+    found = queryset.best_many(tiles, list(asked), weights, K1, B, n / max(total, 1), modes, limit)
+    named = queries.sparkSession.createDataFrame(names, f"query_id {dict(queries.dtypes)['query_id']}, u long")
+    return found.join(named, "u").select("mode", "query_id", "id", "rank", "bm25")
+
+
 def search_many(terms: DataFrame, stats: DataFrame, queries: DataFrame, mode: str = "and", limit: int = 50) -> DataFrame:
     """(query_id, id, rank, bm25): the best documents of every row of ``queries(query_id, query)``, as ``keyword_search`` finds them one by one."""
-    return best_of(score_many(terms, stats, queries), mode, limit)
+    return _search_set(lambda words: queryset.tiles_of_postings(terms, words), stats, queries, (mode,), limit).drop("mode")
+
+
+def search_many_texts(docs: DataFrame, queries: DataFrame, modes: tuple[str, ...] = ("and",), limit: int = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(mode, query_id, id, rank, bm25): ``search_many`` without an index, in one or both modes; each text is cut into words once."""
+    rows = spread(docs).select(F.col(id).alias("id"), tokens(F.col(text)).alias("terms"))
+    return _search_set(lambda words: queryset.tiles_of_texts(rows, words), None, queries, modes, limit)
