@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -32,7 +33,9 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id
     """(query_id, id, rank, score) of the k nearest of every row of ``queries(query_id, vector)``, ties by id.
 
     The queries are one matrix that every task holds, so there may be ``max_queries`` of them (more is an error);
-    a task multiplies it with its batches and keeps k per query of each.  Queries longer than the vectors are cut.
+    a task multiplies parts of it with parts of its batches and keeps k per query.  What comes near the k best is
+    scored again, component by component like ``dot``, so equal vectors have equal scores wherever they lie.
+    Queries longer than the vectors are cut.
     """
     got = queries.select("query_id", "vector").where(F.size("vector") > 0).limit(max_queries + 1).toPandas()
     if len(got) > max_queries:
@@ -40,17 +43,32 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id
     names, asked = got["query_id"].tolist(), [np.asarray(v, np.float64) for v in got["vector"]]
 
     def run(batches):
+        best = {}
         for rows in batches:
             lengths = rows["v"].map(len)
             for dims in sorted(set(lengths)):
-                own = rows[lengths == dims].sort_values("id", kind="stable")
+                own = rows[lengths == dims]
                 fits = [i for i, q in enumerate(asked) if len(q) >= dims]
-                if not fits:
-                    continue
-                scores = np.stack([asked[i][:dims] for i in fits]) @ np.stack(own["v"].to_numpy()).astype(np.float64).T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                ids = own["id"].to_numpy()
-                yield pd.DataFrame({"q": np.repeat(fits, best.shape[1]), "id": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+                for at, part in itertools.product(range(0, len(own), 2048), range(0, len(fits), 256)):
+                    these = fits[part : part + 256]
+                    a, b = np.stack([asked[i][:dims] for i in these]), np.stack(own["v"].iloc[at : at + 2048].to_numpy()).astype(np.float64)
+                    ids = own["id"].to_numpy()[at : at + 2048]
+                    slack = 1e-12 * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
+                    for i, q, near, off in zip(these, a, a @ b.T, slack):
+                        kept = best.get(i, (np.zeros(0), np.zeros(0, np.int64)))
+                        least = kept[0][-1] if len(kept[0]) == k else -np.inf
+                        if len(near) > k:
+                            least = max(least, np.partition(near, -k)[-k])
+                        few = np.flatnonzero(~(near < least - off))
+                        if len(few):
+                            scores = np.concatenate([kept[0], np.add.accumulate(b[few] * q, axis=1)[:, -1]])
+                            names_of = np.concatenate([kept[1], ids[few]])
+                            order = np.lexsort((names_of, -scores))[:k]
+                            best[i] = scores[order], names_of[order]
+        held = list(best)
+        for at in range(0, len(held), 1024):
+            part = held[at : at + 1024]
+            yield pd.DataFrame({"q": np.repeat(part, [len(best[i][0]) for i in part]), "id": np.concatenate([best[i][1] for i in part]), "score": np.concatenate([best[i][0] for i in part])})
 
     rows = vectors.where(F.size(vector) > 0).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     found = rows.mapInPandas(run, "q long, id long, score double")

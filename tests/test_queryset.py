@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
+import numpy as np
 import pytest
 
-from strandline.operators import fulltext, queryset
+from strandline.operators import fulltext, queryset, vectors
+from strandline.plans import parts
 
 
 def shuffled_rows(spark, run):
@@ -52,6 +55,35 @@ def test_many_equal_one_by_one(spark, monkeypatch, tile):
             assert got.get((mode, f"q{i}"), []) == [(doc, k, score) for k, (score, doc) in enumerate(every[:8], 1)], q
 
 
+def test_equal_vectors_tie_wherever_they_lie(spark):
+    """Copies of a vector score alike in every batch, so ids decide; and scores are those of ``dot``."""
+    rnd = np.random.default_rng(8)
+    few = rnd.normal(size=(40, 13))
+    rows = [(i, few[i % 40 if i % 3 else 7].tolist()) for i in range(6007)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, rnd.normal(size=13).tolist()) for i in range(5)], "query_id int, vector array<double>")
+    got = {}
+    for r in vectors.top_k_many(frame, queries, 600).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    for q in queries.collect():
+        assert got[q.query_id] == [(r.vec_id, r.score) for r in vectors.top_k(frame, q.vector, 600).collect()]
+
+
+def test_rankers_without_a_row_for_a_pair(spark, tmp_path):
+    """Both keyword lists of a query set, without its pairs of a query and a document."""
+    n = 2000
+    spark.range(n).selectExpr("id AS doc_id", "concat('the run of ', id % 50, ' the run ', id) AS text").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS vec_id", "array(cos(id), sin(id)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = []
+    shuffled = shuffled_rows(spark, lambda: out.extend(parts.eval_rankers(spark, f"file://{tmp_path}").collect()))
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, out)) == sorted(con.execute(parts.ORACLE_SQL["eval_rankers"]).fetchall())
+    rankers_rows = 80 * 50 * 40 + 80 * 22 * 20  # of lists, rankers and results, which grow with queries alone
+    assert shuffled < rankers_rows + 80 * n
+
+
 def test_no_row_for_a_pair(spark):
     """Every query shares a word with every document, yet what is shuffled stays far below their product."""
     docs = spark.createDataFrame([(i, f"the run {i % 50}") for i in range(1000)], "doc_id long, text string").repartition(4)
