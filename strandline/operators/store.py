@@ -102,12 +102,16 @@ def pending(texts: DataFrame, embeddings: DataFrame, model_id: str, id: str = "i
     return rows if limit is None else rows.orderBy(F.desc("last_seen"), F.desc(id)).limit(limit)
 
 
-def save_embeddings(existing: DataFrame, new: DataFrame, commands: DataFrame) -> DataFrame:
-    """One vector a command: new ones replace old ones, whatever their model, and vanish with their command."""
+def newest_vectors(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """One vector a command: new ones replace old ones, whatever their model."""
     both = existing.withColumn("__new", F.lit(0)).unionByName(new.select(*existing.columns).withColumn("__new", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("command_id").orderBy(F.desc("__new"), "model_id"))
-    rows = both.withColumn("__place", place).where("__place = 1").drop("__place", "__new")
-    return rows.join(commands.select(F.col("id").alias("command_id")), "command_id", "left_semi")
+    return both.withColumn("__place", place).where("__place = 1").drop("__place", "__new")
+
+
+def save_embeddings(existing: DataFrame, new: DataFrame, commands: DataFrame) -> DataFrame:
+    """``newest_vectors``, which vanish with their command."""
+    return newest_vectors(existing, new).join(commands.select(F.col("id").alias("command_id")), "command_id", "left_semi")
 
 
 def embedding_matrix(embeddings: DataFrame, model_id: str) -> DataFrame:

@@ -121,19 +121,50 @@ def from_bytes(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
+def _encode(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], keep: str, batch: int, save: Callable[[list, list[np.ndarray]], None] | None = None, every: int = 1 << 30) -> DataFrame:
+    """(keep, vector) of rows (keep, __text): each row is encoded where it lies, ``batch`` texts a call.  ``save`` gets ``every`` rows at a time, before the next is begun."""
+
+    def run(batches):
+        for rows in batches:
+            for first in range(0, len(rows), every):
+                some = rows.iloc[first : first + every]
+                made = [v for at in range(0, len(some), batch) for v in np.asarray(encoder(some["__text"].iloc[at : at + batch].tolist()), np.float32)]
+                if save:
+                    save(some[keep].tolist(), made)
+                yield pd.DataFrame({keep: some[keep], "vector": made})
+
+    return rows.mapInPandas(run, f"{keep} {dict(rows.dtypes)[keep]}, vector array<float>")
+
+
+def embed(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], model_id: str, folder: str | None = None, every: int = 1 << 30, text: str = "text", id: str = "id", batch: int = 64) -> DataFrame:
+    """``embed_distinct`` of texts that differ from row to row: no row leaves its task.
+
+    Where a ``folder`` (a local or mounted path) is named, a task also saves each ``every`` rows there as a Parquet file
+    before it goes on; a file that can be seen is whole.
+    """
+
+    def save(ids, made):
+        import os
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        whole = pa.table([pa.array(ids, pa.int64()), pa.array([model_id] * len(ids)), pa.array([len(v) for v in made], pa.int32()), pa.array(made, pa.list_(pa.float32()))], ["command_id", "model_id", "dims", "vector"])
+        name = uuid.uuid4().hex
+        pq.write_table(whole, f"{folder}/_{name}")  # readers skip names with a line before them
+        os.replace(f"{folder}/_{name}", f"{folder}/{name}.parquet")
+
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(id).alias("command_id"), F.col(text).alias("__text"))
+    encoded = _encode(rows, encoder, "command_id", batch, save if folder else None, every)
+    return encoded.select("command_id", F.lit(model_id).alias("model_id"), F.size("vector").alias("dims"), "vector")
+
+
 def embed_distinct(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], model_id: str, text: str = "text", id: str = "id", batch: int = 64) -> DataFrame:
     """(command_id, model_id, dims, vector) for every row; each distinct text is encoded once.
 
     ``encoder`` is any picklable function from a list of texts to a matrix of unit rows.
     """
-
-    def run(batches):
-        for rows in batches:
-            for at in range(0, len(rows), batch):
-                part = rows.iloc[at : at + batch]
-                made = np.asarray(encoder(part["__text"].tolist()), np.float32)
-                yield pd.DataFrame({"__text": part["__text"].astype(object), "vector": list(made)})
-
-    encoded = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct().mapInPandas(run, "__text string, vector array<float>")
+    encoded = _encode(texts.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct(), encoder, "__text", batch)
     rows = texts.select(F.col(id).alias("command_id"), F.col(text).alias("__text")).join(encoded, "__text")
     return rows.select("command_id", F.lit(model_id).alias("model_id"), F.size("vector").alias("dims"), "vector")

@@ -78,7 +78,8 @@ def release(*tables: DataFrame) -> None:
 def numbered(rows: DataFrame, column: str, first: int, name: str) -> tuple[DataFrame, int]:
     """``rows``, written, with ``column``: numbers from ``first`` without gaps, in the order of the rows; and how many there are.
 
-    A number is a row's place in its task behind the rows of the tasks before (one number a task).
+    A number is a row's place in its task behind the rows of the tasks before (one number a task).  What is written can be
+    released like a table of ``materialize``.
     """
     rows = materialize(rows.withColumn("__at", F.monotonically_increasing_id()), name)
     task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
@@ -88,7 +89,9 @@ def numbered(rows: DataFrame, column: str, first: int, name: str) -> tuple[DataF
         before.append((t, n))
         n += counts[t]
     starts = rows.sparkSession.createDataFrame(before, "__task long, __start long")
-    return rows.join(F.broadcast(starts), task == F.col("__task")).withColumn(column, F.col("__start") + place).drop("__at", "__task", "__start"), n - first
+    out = rows.join(F.broadcast(starts), task == F.col("__task")).withColumn(column, F.col("__start") + place).drop("__at", "__task", "__start")
+    out._written_at = rows._written_at
+    return out, n - first
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Tables live under one folder, each as numbered versions.  Executions are appended; whatever replaces rows
 writes a new version, after which the old one is deleted, so forgotten texts stay nowhere on disk.  One
-writer at a time; readers see the last complete version.
+writer at a time; readers see the last complete version, and the vectors that were saved since beside it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from strandline.plans.shared import materialize, numbered, release
 from strandline.sources.history import import_history, read_history
 
 _TABLES = {"executions": schemas.EXECUTIONS, "embeddings": schemas.EMBEDDINGS, "meta": schemas.META, "catalogue": f"id long, {schemas.CATALOGUE}, vector array<float>, model_id string"}
+#: Vectors that an encoding has saved so far, file by file: a folder in that of the version they come on top of.
+_ENCODED = ("_encoded", "rows")
+#: Rows that a task encodes at most, in many parts; tasks of a job in which each encodes one part.
+_TASK_ROWS, _TASKS = 1 << 16, 1 << 15
 _DETAILS = ("cwd", "git_root", "exit_code", "duration_ms", "started_at", "session_id", "hostname")
 
 
@@ -49,9 +53,20 @@ class Store:
         found = [f.getPath() for f in fs.listStatus(self._at(name))]
         return sorted(int(p.getName()) for p in found if fs.exists(self._at(name, p.getName(), "_SUCCESS")))
 
+    def _last(self, name: str) -> DataFrame:
+        have = self._versions(name)
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}/{have[-1]}") if have else self.spark.createDataFrame([], _TABLES[name])
+
+    def _encoded(self):
+        """Where vectors are saved beside their last version, if there is one."""
+        have = self._versions("embeddings")
+        return self._at("embeddings", str(have[-1]), *_ENCODED) if have else None
+
     def table(self, name: str) -> DataFrame:
-        reader, have = self.spark.read.schema(_TABLES[name]), self._versions(name)
-        return reader.parquet(f"{self.path}/{name}/{have[-1]}") if have else self.spark.createDataFrame([], _TABLES[name])
+        rows = self._last(name)
+        if name == "embeddings" and (at := self._encoded()) and self._fs().exists(at):
+            return store.newest_vectors(rows, self.spark.read.schema(_TABLES[name]).parquet(at.toString()))
+        return rows
 
     def _replace(self, name: str, rows: DataFrame) -> None:
         have = self._versions(name)
@@ -76,6 +91,7 @@ class Store:
         rows, n = numbered(schemas.checked_executions(rows), "id", last + 1, "batch")
         have = self._versions("executions")
         rows.select(*types).write.mode("append").parquet(f"{self.path}/executions/{have[-1] if have else 0}")
+        release(rows)
         return n
 
     def add(self, raw: str, source: str = "manual", **details) -> int:
@@ -140,20 +156,37 @@ class Store:
     def embed_pending(self, encoder: Callable[[list[str]], np.ndarray], model_id: str, batch: int = 100_000) -> int:
         """Encode every command that has no vector of this model, the last seen first; returns how many there were.
 
-        Every ``batch`` is saved before the next is begun, so a failure loses one at most.
+        Tasks encode parts of batches and save each before they go on.  The parts that all cores have in hand make one
+        ``batch`` (or one row a core, if that is more), so a failure loses one at most.
         """
-        commands, done = materialize(self.commands().select("id", "text", "last_seen"), "commands"), 0
-        while True:
-            todo = materialize(store.pending(commands, self.table("embeddings"), model_id, limit=batch), "pending")
-            n = todo.count()
-            if n:
-                new = vectors.embed_distinct(todo, encoder, model_id)
-                self._replace("embeddings", store.save_embeddings(self.table("embeddings"), new, commands))
-            release(todo)
-            done += n
-            if n < batch:
-                release(commands)
-                return done
+        commands = materialize(self.commands().select("id", "text", "last_seen"), "commands")
+        if not (at := self._encoded()) or self._fs().exists(at):  # what a run that failed has saved
+            self._replace("embeddings", self.table("embeddings").join(commands.select(F.col("id").alias("command_id")), "command_id", "left_semi"))
+        todo = store.pending(commands, self._last("embeddings"), model_id).orderBy(F.desc("last_seen"), F.desc("id"))
+        todo, n = numbered(todo, "pos", 0, "pending")
+        if n:
+            new = self._encode(todo, n, encoder, model_id, batch)
+            self._replace("embeddings", store.save_embeddings(self._last("embeddings"), new, commands))
+            release(new)
+        release(todo, commands)
+        return n
+
+    def _encode(self, todo: DataFrame, n: int, encoder: Callable[[list[str]], np.ndarray], model_id: str, batch: int) -> DataFrame:
+        """The vectors of the ``n`` rows of ``todo``, saved part by part beside their table's last version."""
+        cores, where = self.spark.sparkContext.defaultParallelism, self._encoded()
+        size = max(1, batch // cores)
+        if (uri := self._fs().makeQualified(where).toUri()).getScheme() == "file":
+            # parts are dealt to one task a core in turn, wave by wave, so that the last seen come first
+            self._fs().mkdirs(where)
+            part, wave = F.floor(F.col("pos") / size), cores * max(1, _TASK_ROWS // size)
+            rows = todo.repartitionById(-(-n // (wave * size)) * cores, (F.floor(part / wave) * cores + part % cores).cast("int")).sortWithinPartitions("pos")
+            return materialize(vectors.embed(rows, encoder, model_id, uri.getPath(), size), "encoded")
+        for first in range(0, n, size * _TASKS):  # elsewhere only Spark can write: a part is a task
+            last = min(n, first + size * _TASKS)
+            rows = todo.where(F.col("pos").between(first, last - 1)).repartitionById(-(-(last - first) // size), F.floor((F.col("pos") - first) / size).cast("int"))
+            # by the second version of the protocol a task's file is in its place when the task ends, whatever becomes of the job
+            vectors.embed(rows, encoder, model_id).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(where.toString())
+        return materialize(self.spark.read.schema(_TABLES["embeddings"]).parquet(where.toString()), "encoded")
 
     # queries
 
